@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import leaks, sentences
+from . import canonical, leaks, sentences
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +31,15 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.remove_leaks(docs, table(spark, sf_dir, "eval_item")).select("doc_id", "clean_text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that look the same and differ in their characters."""
+    return canonical.alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text in the one consistent form."""
+    return canonical.canonical(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").drop("text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical)}
 ORACLE: dict[str, str] = {}
