@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import canonical, leaks, sentences
+from . import canonical, leaks, scans, sentences
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +41,31 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").drop("text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical)}
+def scanned_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with their title and the names they list, ready for the operators on scans."""
+    names = F.flatten(F.transform("sampled_pairs", lambda p: F.concat(F.coalesce(p["pers_mentions_list"], F.array().cast("array<string>")), F.coalesce(p["loc_mentions_list"], F.array().cast("array<string>")))))
+    pairs = F.filter("sampled_pairs", lambda p: p.isNotNull())
+    df = table(spark, sf_dir, "articles").withColumn("sampled_pairs", F.coalesce(pairs, F.array().cast(table(spark, sf_dir, "articles").schema["sampled_pairs"].dataType)))
+    return df.select("document_id", "text", "language", F.col("media.publication_title").alias("title"), names.alias("names"))
+
+
+def article_editor(spark: SparkSession, sf_dir: str) -> scans.Editor:
+    return scans.train(scanned_articles(spark, sf_dir), "text", "language", "title", "names")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of page layout and scanning in articles.text and in the persons' mentions."""
+    editor = article_editor(spark, sf_dir)
+    a = scans.defects(scanned_articles(spark, sf_dir), "document_id", "text", "language", "title", editor)
+    m = scans.mention_defects(table(spark, sf_dir, "relation_instance"), "sample_id", "pers_mentions_list", "language", editor)
+    cols = ["table_name", "record_key", "pos", "defect"]
+    return a.withColumn("table_name", F.lit("articles")).select(cols).union(m.withColumn("table_name", F.lit("relation_instance")).select(cols)).distinct()
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """articles.text as continuous readable paragraphs."""
+    return scans.repaired(scanned_articles(spark, sf_dir), "document_id", "text", "language", "title", article_editor(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired)}
 ORACLE: dict[str, str] = {}
