@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import canonical, leaks, scans, sentences
+from . import canonical, leaks, overlap, scans, sentences, splits
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +67,46 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired(scanned_articles(spark, sf_dir), "document_id", "text", "language", "title", article_editor(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every article: the smallest source within it."""
+    df = table(spark, sf_dir, "articles")
+    source = F.lower(F.trim(F.regexp_replace("source", r"^\s+|\s+$", "")))
+    shared = [(source, False), (F.col("correspondent"), False), (F.col("sampled_pairs.pers_entity_id"), True), (F.col("sampled_pairs.pers_wikidata_QID"), True)]
+    groups = splits.group_records(df, "document_id", shared)
+    sources = df.groupBy("document_id").agg(F.min(source).alias("source"))
+    joined = groups.join(sources, "document_id")
+    least = joined.groupBy("group").agg(F.min("source").alias("group_source"))
+    return joined.join(least, "group").select("document_id", "group_source")
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """train, val and test (70/15/15) for every article, related articles together."""
+    groups = p5_found(spark, sf_dir).withColumn("name", F.coalesce("group_source", "document_id")).select("document_id", "name")
+    return splits.assign_splits(groups, "document_id", {"train": 0.7, "val": 0.15, "test": 0.15})
+
+
+def article_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.lower(F.trim("split"))
+    by_document = table(spark, sf_dir, "split_ids").groupBy("document_id").agg(F.min(split).alias("split"))
+    articles = table(spark, sf_dir, "articles").select("document_id", F.col("text").alias("x"), F.col("media.publication_title").alias("h"), "loaded_at")
+    latest = articles.groupBy(F.col("document_id")).agg(F.max_by(F.struct("x", "h"), F.struct(F.col("loaded_at"), F.col("x"))).alias("r"))
+    records = latest.join(by_document, "document_id").select(F.col("document_id").alias("k"), "r.x", "r.h", "split")
+    return overlap.overlaps(records, scans.continuous_words)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles, one in train and the other in val or test, that are the same or nearly."""
+    pairs = article_overlaps(spark, sf_dir)
+    return pairs.select(F.least("eval_key", "train_key").alias("document_id_a"), F.greatest("eval_key", "train_key").alias("document_id_b")).distinct()
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps by evaluation split and source of the evaluation article."""
+    source = F.lower(F.regexp_replace("source", r"^\s+|\s+$", ""))
+    sources = table(spark, sf_dir, "articles").groupBy(F.col("document_id").alias("eval_key")).agg(F.min(source).alias("source"))
+    counts = [F.count("*").alias("n_pairs"), F.count_if("exact").alias("n_exact"), F.count_distinct("eval_key").alias("n_articles")]
+    return article_overlaps(spark, sf_dir).join(sources, "eval_key").groupBy(F.col("eval_split").alias("split"), "source").agg(*counts)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired, p5_found, p5_splits, p6_found, p6_report)}
 ORACLE: dict[str, str] = {}
