@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import canonical, leaks, overlap, scans, sentences, splits
+from . import canonical, leaks, neighbours, overlap, scans, sentences, splits
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +108,11 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return article_overlaps(spark, sf_dir).join(sources, "eval_key").groupBy(F.col("eval_split").alias("split"), "source").agg(*counts)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired, p5_found, p5_splits, p6_found, p6_report)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of mask_batch one of which is among the 5 most similar others of the other, cosine 0.9 or more."""
+    near = neighbours.neighbours(table(spark, sf_dir, "mask_batch"), "vec_id", "mask_emb", dim=64)
+    return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired, p5_found, p5_splits, p6_found, p6_report, p2_found)}
 ORACLE: dict[str, str] = {}
