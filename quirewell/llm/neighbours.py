@@ -139,7 +139,7 @@ def prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, sims: np.ndarray, de
 class Graph:
     """The graph of one shard."""
 
-    def __init__(self, x: np.ndarray, degree: int = 16, width: int = 24, alpha: float = 1.2, batch: int = 1024):
+    def __init__(self, x: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.2, batch: int = 1024):
         self.x, self.degree, self.width = x, degree, width
         n = len(x)
         self.edges = np.full((n, degree), -1, np.int32)
@@ -222,7 +222,7 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return df.select(F.col(key).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & ~bad & F.exists("v", lambda x: x != 0))
 
 
-def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, most_fit: int = 20_000, shard: int = 4_000, most_shard: int = 8_000, reach: float = 3.0, degree: int = 16, width: int = 24) -> DataFrame:
+def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, most_fit: int = 20_000, shard: int = 4_000, most_shard: int = 8_000, reach: float = 3.0, degree: int = 24, width: int = 32) -> DataFrame:
     """id, other, cosine: for every vector its k most similar others, as far as their cosine is at least ``least``."""
     vectors = cut(usable(df, key, vector, dim))
     by_value = Window.partitionBy("v").orderBy("id")
