@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
-from . import canonical, leaks, neighbours, overlap, scans, sentences, splits
+from ..session import cut, table
+from . import canonical, leaks, neighbours, overlap, packing, scans, sentences, splits
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,5 +114,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired, p5_found, p5_splits, p6_found, p6_report, p2_found)}
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents.text in containers of 2,048 tokens: which tokens of which document lie in which container."""
+    return packing.containers(cut(packing.measured(table(spark, sf_dir, "documents"), "doc_id", "text")), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired, p5_found, p5_splits, p6_found, p6_report, p2_found, p7_containers)}
 ORACLE: dict[str, str] = {}
