@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nested
+from . import ensembles, nested, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,5 +14,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": nested.p1_found,
     "p1_documents": nested.p1_documents,
     "p1_pairs": nested.p1_pairs,
+    **scoring.QUERIES,
+    **ensembles.QUERIES,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**scoring.ORACLE, **ensembles.ORACLE}
