@@ -17,12 +17,18 @@ def ranked(df: DataFrame, key: str, strata: list[str]) -> DataFrame:
     w = Window.partitionBy(*strata)
     counts = counts.withColumn("_before", F.sum("_c").over(w.orderBy("_bucket")) - F.col("_c")).withColumn("_n", F.sum("_c").over(w))
     own = F.row_number().over(Window.partitionBy(*strata, "_bucket").orderBy("_hash", key))
-    same = [t[c].eqNullSafe(counts[c]) for c in [*strata, "_bucket"]]
-    condition = same[0]
-    for x in same[1:]:
-        condition = condition & x
-    joined = t.withColumn("_own", own).join(counts, condition)
-    return joined.select(*[t[c] for c in df.columns], (F.col("_own") + F.col("_before")).alias("_rank"), "_n")
+    on = [*strata, "_bucket"]
+    counts = counts.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(on)], "_before", "_n")
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    joined = t.withColumn("_own", own).join(counts, same)
+    return joined.select(*df.columns, (F.col("_own") + F.col("_before")).alias("_rank"), "_n")
+
+
+def stratified_folds(df: DataFrame, key: str, strata: list[str], folds: int) -> DataFrame:
+    """df with its fold: hash order within each stratum, dealt in turn."""
+    return ranked(df, key, strata).withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank", "_n")
 
 
 def _portion(n: Column, share: float) -> Column:

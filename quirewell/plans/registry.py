@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ensembles, nested, scoring
+from . import ensembles, nested, scoring, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,5 +16,6 @@ QUERIES: dict[str, Query] = {
     "p1_pairs": nested.p1_pairs,
     **scoring.QUERIES,
     **ensembles.QUERIES,
+    **texts.QUERIES,
 }
-ORACLE: dict[str, str] = {**scoring.ORACLE, **ensembles.ORACLE}
+ORACLE: dict[str, str] = {**scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE}
