@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ensembles, nested, scoring, texts
+from . import ensembles, models, nested, scoring, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,5 +17,6 @@ QUERIES: dict[str, Query] = {
     **scoring.QUERIES,
     **ensembles.QUERIES,
     **texts.QUERIES,
+    **models.QUERIES,
 }
-ORACLE: dict[str, str] = {**scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE}
+ORACLE: dict[str, str] = {**scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE, **models.ORACLE}
