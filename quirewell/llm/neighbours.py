@@ -48,7 +48,7 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def beam(x: np.ndarray, edges: np.ndarray, q: np.ndarray, starts: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam(x: np.ndarray, edges: np.ndarray, q: np.ndarray, starts: np.ndarray, width: int, step: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities), each (queries, width), best first; -1 where the graph holds fewer.
 
     All queries advance together: each expands its ``step`` best unexpanded
@@ -139,7 +139,7 @@ def prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, sims: np.ndarray, de
 class Graph:
     """The graph of one shard."""
 
-    def __init__(self, x: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.2, batch: int = 1024):
+    def __init__(self, x: np.ndarray, degree: int = 20, width: int = 24, alpha: float = 1.2, batch: int = 1024):
         self.x, self.degree, self.width = x, degree, width
         n = len(x)
         self.edges = np.full((n, degree), -1, np.int32)
@@ -222,25 +222,38 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return df.select(F.col(key).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & ~bad & F.exists("v", lambda x: x != 0))
 
 
-def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, most_fit: int = 20_000, shard: int = 4_000, most_shard: int = 8_000, reach: float = 3.0, degree: int = 24, width: int = 32) -> DataFrame:
+def copies(vectors: DataFrame) -> DataFrame:
+    """id, rep, rank of every vector that stands more than once: its first id, its place among the copies.
+
+    Copies are told by two hashes of the values, so only ids and hashes are
+    shuffled, and only groups of two or more are ranked.
+    """
+    slim = vectors.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    several = slim.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1").drop("n")
+    place = Window.partitionBy("rep").orderBy("id")
+    return slim.join(several, ["h1", "h2"]).select("id", "rep").withColumn("rank", F.row_number().over(place))
+
+
+def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, most_fit: int = 20_000, shard: int = 12_000, most_shard: int = 24_000, reach: float = 1.5, degree: int = 20, width: int = 24) -> DataFrame:
     """id, other, cosine: for every vector its k most similar others, as far as their cosine is at least ``least``."""
-    vectors = cut(usable(df, key, vector, dim))
-    by_value = Window.partitionBy("v").orderBy("id")
-    members = cut(vectors.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= k + 1).withColumn("rep", F.min("id").over(Window.partitionBy("v"))))
-    points = members.where("rank = 1").select("id", "v")
-    n = points.count()
+    vectors = usable(df, key, vector, dim)
+    n = vectors.count()
     if n == 0:
-        return points.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"))
-    sample = np.array([r[0] for r in points.orderBy(F.xxhash64("id")).limit(most_fit).select("v").collect()], dtype=np.float32)
-    c = fit_centroids(unit(sample), max(1, min(-(-n // shard), len(sample) // 8 or 1)))
+        return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"))
+    again = cut(copies(vectors))
+    points = vectors.join(again.where("rank > 1").select("id"), "id", "left_anti")
+    sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(most_fit).select("v").collect()], dtype=np.float32)
+    c = fit_centroids(unit(np.unique(sample, axis=0)), max(1, min(-(-n // shard), len(sample) // 8 or 1)))
     shared = df.sparkSession.sparkContext.broadcast(c)
 
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b.assign(cell=np.argmax(unit(np.stack(b["v"])) @ shared.value.T, axis=1).astype(np.int32))
+    def cells_of(v: np.ndarray) -> np.ndarray:
+        return np.argmax(unit(v) @ shared.value.T, axis=1).astype(np.int32)
+
+    @F.pandas_udf("int")
+    def home(v: pd.Series) -> pd.Series:
+        return pd.Series(cells_of(np.stack(v)) if len(v) else np.zeros(0, np.int32))
 
-    homed = cut(points.mapInPandas(home, "id bigint, v array<float>, cell int"))
+    homed = points.withColumn("cell", home("v"))
     sizes = {r[0]: r[1] for r in homed.groupBy("cell").count().collect()}  # one row per centroid
     pieces = {cell: -(-m // most_shard) for cell, m in sizes.items()}
     split = F.coalesce(*[F.when(F.col("cell") == cell, F.pmod(F.xxhash64("id"), F.lit(p))) for cell, p in pieces.items() if p > 1], F.lit(0)).cast("int")
@@ -258,11 +271,11 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least
             if s >= least:
                 hits[i].append((int(ids[j]), s))
         return pd.DataFrame({
-            "id": ids, "v": pdf["v"], "cell": pdf["cell"], "piece": pdf["piece"], "node": np.arange(len(ids), dtype=np.int32), "edges": list(graph.edges),
+            "id": ids, "v": pdf["v"], "cell": pdf["cell"], "piece": pdf["piece"], "node": np.arange(len(ids), dtype=np.int32), "edges": [e.tobytes() for e in graph.edges.astype(np.int16 if len(ids) < 32_000 else np.int32)],
             "others": [[h[0] for h in x] for x in hits], "cosines": [[h[1] for h in x] for x in hits],
         })
 
-    ddl = "id bigint, v array<float>, cell int, piece int, node int, edges array<int>, others array<bigint>, cosines array<double>"
+    ddl = "id bigint, v array<float>, cell int, piece int, node int, edges binary, others array<bigint>, cosines array<double>"
     index = cut(homed.withColumn("piece", split).groupBy("cell", "piece").applyInPandas(build, ddl))
     own = index.select("id", F.explode(F.arrays_zip("others", "cosines")).alias("h")).select("id", F.col("h.others").alias("other"), F.col("h.cosines").alias("cosine"))
 
@@ -293,7 +306,8 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least
         nodes = nodes.sort_values("node", ignore_index=True)
         ids, raw = nodes["id"].to_numpy(), np.stack(nodes["v"])
         graph = Graph.__new__(Graph)
-        graph.x, graph.edges, graph.degree, graph.width = unit(raw), np.stack(nodes["edges"]), degree, width
+        packed = np.frombuffer(b"".join(nodes["edges"]), np.int16 if len(ids) < 32_000 else np.int32)
+        graph.x, graph.edges, graph.degree, graph.width = unit(raw), packed.reshape(len(ids), degree).astype(np.int32), degree, width
         graph.pivots = np.random.default_rng(7).permutation(len(ids))[: max(128, int(2 * np.sqrt(len(ids))))]
         q = np.stack(guests_["v"])
         found, sims = graph.query(unit(q))
@@ -304,14 +318,17 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least
 
     abroad = index.select("cell", "piece", "node", "id", "v", "edges").groupBy("cell", "piece").cogroup(guests.groupBy("cell", "piece")).applyInPandas(visit, "id bigint, other bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    met = own.unionByName(abroad).dropDuplicates(["id", "other"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
-
-    # ---- back from distinct vectors to rows
-    several = members.where("rank = 2").select(F.col("rep").alias("id"))
-    itself = several.select("id", F.col("id").alias("other"), F.lit(2.0).alias("cosine"))
-    rows_of = vectors.join(members.where("rank = 1").select("v", "rep"), "v").select(F.col("id").alias("row"), F.col("rep").alias("id"))
-    wide = met.unionByName(itself).join(members.select(F.col("rep").alias("other"), F.col("id").alias("other_row")), "other")
-    out = wide.join(rows_of, "id").where("row <> other_row")
+    met = cut(own.unionByName(abroad).dropDuplicates(["id", "other"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+    if again.isEmpty():
+        return met
+
+    # ---- back from distinct vectors to rows: copies are each other's nearest, and come along with their first
+    firsts = again.where("rank = 1").select(F.col("rep").alias("id"))
+    itself = firsts.select("id", F.col("id").alias("other"), F.lit(2.0).alias("cosine"))
+    some = again.where(F.col("rank") <= k + 1).select(F.col("rep").alias("other"), F.col("id").alias("other_row"))
+    wide = met.unionByName(itself).join(some, "other", "left").withColumn("other_row", F.coalesce("other_row", "other"))
+    rows = again.select(F.col("rep").alias("id"), F.col("id").alias("row"))
+    out = wide.join(rows, "id", "left").withColumn("row", F.coalesce("row", "id")).where("row <> other_row")
     last = Window.partitionBy("row").orderBy(F.desc("cosine"), "other_row")
     out = out.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return out.select(F.col("row").alias("id"), F.col("other_row").alias("other"), F.least(F.col("cosine"), F.lit(1.0)).alias("cosine"))
