@@ -18,7 +18,8 @@ equal exactly where the texts look the same.
 
 Defined results for odd input: null texts stay null and empty ones empty;
 texts of white space only keep their lines and the number of their spaces;
-repeated documents are each normalised; extra columns are kept.
+repeated documents are each normalised; extra columns are kept, but for one of
+the result's name.
 """
 
 from __future__ import annotations
@@ -194,6 +195,7 @@ def canonical(df: DataFrame, key: str, text: str, out: str = "canonical_text") -
     Only documents with odd tokens are joined with the spellings: each row is
     exploded to its distinct odd tokens, which meet their spelling by token.
     """
+    df = df.drop(out, "_row", "_text", "_spelled")  # a column of the result's name gives way to it
     slim = df.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_row"), F.col(text).alias("t"))
 
     def odd(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

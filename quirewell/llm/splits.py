@@ -121,6 +121,7 @@ def assign_splits(groups: DataFrame, key: str, shares: dict[str, float], seed: s
     ``groups`` holds key and ``name`` (a stable name of the group). A share is
     met up to the size of the groups at its edges.
     """
+    groups = groups.select(key, "name")
     sized = groups.groupBy("name").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(F.lit(seed), "name")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     totals = {r[0]: r[1] for r in sized.groupBy("bucket").agg(F.sum("n")).collect()}  # at most ``buckets`` rows
     offset, running = {}, 0
