@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import lexicons as X
 
@@ -207,8 +207,8 @@ def verb_types(context: Column, language: Column) -> dict[str, Column]:
     return out
 
 
-def datelines(text: Column, locs: Column, region: int = 100) -> dict[str, Column]:
-    """Whether a place stands as a dateline: at the opening, the close or in the middle, and only there.
+def dateline_tests(text: Column, locs: Column, region: int = 100) -> dict[str, Column]:
+    """Whether a place stands as a dateline: at the opening, the close or in the middle; and whether in prose too.
 
     Patterns are built per mention, so they run only where the text contains
     the mention at all.
@@ -218,20 +218,36 @@ def datelines(text: Column, locs: Column, region: int = 100) -> dict[str, Column
     closing = [rf"{{}}\s*[,.]\s*(?:den\s+|le\s+)?{date}{X.YEAR}[\s.]*$", rf"\n\s*{{}}\s*[,.]\s*{date}{X.YEAR}[\s.]*$", rf"{date}{X.YEAR}\s*[,.]\s*{{}}[\s.]*$"]
     middle = [rf"(?:\n\s*|\.\s+){{}}\s*[,.]\s*(?:Am\s+|Le\s+|On\s+)?{date}", r"(?:\n\s*|\.\s+){}\s*\.\s+[A-ZÄÖÜÉÈÀÂÔÛÇŞ]", r"(?<!\A)\n\s*{}\s*\.\s*\n"]
 
+    low = F.lower(text)
+    #: a dateline's mention stands before or after a comma or full stop: a cheap test that spares most patterns
+    left, right = F.regexp_replace(low, r"\s+([,.])", "$1"), F.regexp_replace(low, r"([,.])\s+", "$1")
+
+    def beside(m):
+        q = F.lower(m)
+        return F.contains(left, F.concat(q, F.lit(","))) | F.contains(left, F.concat(q, F.lit("."))) | F.contains(right, F.concat(F.lit(","), q)) | F.contains(right, F.concat(F.lit("."), q))
+
     def found(patterns):
         def test(m):
             out = F.lit(False)
             for p in patterns:
                 a, b = p.split("{}") if "{}" in p else p.split("{{}}")
                 out = out | F.regexp(text, F.concat(F.lit(LINES + a.replace("{{", "{").replace("}}", "}")), _quoted(m), F.lit(b.replace("{{", "{").replace("}}", "}"))))
-            return F.contains(F.lower(text), F.lower(m)) & out
+            return beside(m) & out
 
         return F.coalesce(F.exists(locs, test), F.lit(False))
 
-    o, c, m = found(opening), found(closing), found(middle)
     prose = text.substr(F.lit(region + 1), F.length(text) - 2 * region)
-    in_prose = (F.length(text) > 2 * region) & F.exists(locs, lambda q: F.contains(prose, q))
-    return {"location_is_dateline": flag(o | c | m), "location_is_opening_dateline": flag(o), "location_is_closing_dateline": flag(c), "location_is_mid_dateline": flag(m), "location_dateline_only": flag((o | c | m) & ~F.coalesce(in_prose, F.lit(False)))}
+    in_prose = F.coalesce((F.length(text) > 2 * region) & F.exists(locs, lambda q: F.contains(prose, q)), F.lit(False))
+    return {"opening": found(opening), "closing": found(closing), "middle": found(middle), "in_prose": in_prose}
+
+
+def datelines(df: DataFrame, text: str, locs: str, region: int = 100) -> DataFrame:
+    """df with the five dateline features. The patterns run once each; the features only combine their outcomes."""
+    tests = dateline_tests(F.col(text), F.col(locs), region)
+    t = df.withColumns({f"_{k}": c for k, c in tests.items()})
+    o, c, m = F.col("_opening"), F.col("_closing"), F.col("_middle")
+    out = {"location_is_dateline": flag(o | c | m), "location_is_opening_dateline": flag(o), "location_is_closing_dateline": flag(c), "location_is_mid_dateline": flag(m), "location_dateline_only": flag((o | c | m) & ~F.col("_in_prose"))}
+    return t.withColumns(out).drop(*[f"_{k}" for k in tests])
 
 
 # ---- markers, templates, sentences

@@ -153,29 +153,30 @@ def binary_ambiguity(p: Column) -> Column:
     return (term(p) + term(q)) / F.ln(F.lit(2.0)) * (1 - F.abs(p - q))
 
 
-def top_share(df: DataFrame, score: str, share: float, keys: list[str], ascending: bool = False, buckets: int = 1000, out: str = "routed") -> DataFrame:
-    """df with whether a row is among the round(share * n) rows of highest (or lowest) score; ties by key.
+def top_share(df: DataFrame, score: str, share: float, keys: list[str], ascending: bool = False, buckets: int = 200, out: str = "routed") -> DataFrame:
+    """df with whether a row is among the round(share * n) rows of highest (or lowest) score; ties by key, unknown scores last.
 
     The rank is global, so it is found without one sorted partition of all
     rows: scores are counted in quantile buckets, whole buckets are decided by
     their counts, and only the bucket that holds the border is ranked.
     """
-    n = df.count()
+    from pyspark.ml.feature import Bucketizer
+
+    t = df.withColumn("_s", (-F.col(score) if ascending else F.col(score)).cast("double"))
+    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    n, edges = t.agg(F.count("*"), F.percentile_approx("_s", steps, 10_000)).first()
     k = int(round(share * n))
-    edges = [e for e in (df.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.001) if n else [])]
-    edges = sorted(set(edges))
-    s = -F.col(score) if ascending else F.col(score)
-    marks = sorted({(-e if ascending else e) for e in edges})
-    bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in marks]) if marks else F.array().cast("array<double>"), lambda e: e <= s))
-    t = df.withColumn("_bucket", F.coalesce(F.when(F.col(score).isNull(), F.lit(-1)).otherwise(bucket), F.lit(-1)))
-    counts = {r[0]: r[1] for r in t.groupBy("_bucket").count().collect()}
+    marks = [float("-inf"), *sorted(set(edges or [])), float("inf")]
+    t = Bucketizer(splits=marks if len(marks) > 2 else [float("-inf"), 0.0, float("inf")], inputCol="_s", outputCol="_bucket", handleInvalid="keep").transform(t)
+    t = t.withColumn("_bucket", F.when(F.col("_s").isNull(), -1).otherwise(F.col("_bucket")).cast("int"))
+    counts = {r[0]: r[1] for r in t.groupBy("_bucket").count().collect()}  # one row per bucket
     border, above = -1, 0
     for b in sorted(counts, reverse=True):
         if above + counts[b] >= k:
             border = b
             break
         above += counts[b]
-    w = Window.partitionBy("_bucket").orderBy(F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last(), *keys)
+    w = Window.partitionBy("_bucket").orderBy(F.col("_s").desc_nulls_last(), *keys)
     inside = t.where(F.col("_bucket") == border).withColumn(out, F.row_number().over(w) <= k - above)
     rest = t.where(F.col("_bucket") != border).withColumn(out, F.col("_bucket") > border)
-    return rest.unionByName(inside).drop("_bucket")
+    return rest.unionByName(inside).drop("_bucket", "_s")

@@ -287,8 +287,8 @@ def f18_hierarchy_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def f19_datelines(spark: SparkSession, d: str) -> DataFrame:
     """The five dateline features over whole articles; SQL lacks look-behind, so tested on fixtures."""
-    t = with_text(spark, d)
-    return features(t, ["sample_id"], T.datelines(F.coalesce("text", F.lit("")), F.col("locs")))
+    t = T.datelines(with_text(spark, d).fillna({"text": ""}), "text", "locs")
+    return t.select("sample_id", *[c for c in t.columns if c.startswith("location_")])
 
 
 # ---- markers and templates

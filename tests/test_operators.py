@@ -123,7 +123,7 @@ def test_mentions_are_taken_literally(spark):
 @pytest.mark.parametrize("text,loc,expect", [("Berlin, 14. Oktober. Es war einmal ein langer Text.", "Berlin", "opening"), ("LONDON, Dec. 31. It was said.", "London", "opening"), ("Es war so.\nWien, den 3. Mai 1848.", "Wien", "closing"), ("Lange Rede. Frankfurt. Am 14. Oktober kam er.", "Frankfurt", "mid"), ("He lived in Rome for years.", "Rome", None)])
 def test_datelines(spark, text, loc, expect):
     df = frame(spark, [(text, [loc])], "t string, q array<string>")
-    got = df.select(*[c.alias(n) for n, c in T.datelines(F.col("t"), F.col("q")).items()]).collect()[0].asDict()
+    got = T.datelines(df, "t", "q").collect()[0].asDict()
     assert got["location_is_dateline"] == float(expect is not None)
     if expect:
         assert got[f"location_is_{expect}_dateline"] == 1.0
