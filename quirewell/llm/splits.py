@@ -4,8 +4,8 @@ Records and the keys they share form a graph. Each key links its records in a
 star around the smallest one (linear in the incidences, whatever the key's
 size), so no group is ever gathered or paired.
 
-One level of the search: every vertex smaller than all its neighbours is a
-seed; all seeds expand at once, hop by hop, over the hash-partitioned
+One level of the search: every vertex whose hash is smaller than those of all
+its neighbours is a seed (a steady share of any graph, chains included); all seeds expand at once, hop by hop, over the hash-partitioned
 adjacency; a vertex takes the smallest label that reaches it first, and
 vertices not reached within ``hops`` start on their own. Edges between
 vertices of different labels are collisions; they form the next, smaller graph
@@ -60,8 +60,9 @@ def _merge(edges: DataFrame) -> DataFrame:
 
 def _level(edges: DataFrame, hops: int) -> DataFrame:
     """u, label: one level of the search; ``edges`` holds both directions."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("least"))
-    labels = smallest.where("u < least").select("u", F.col("u").alias("label"))
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
+    smallest = edges.groupBy("u").agg(F.min(order("v")).alias("least"))
+    labels = smallest.where(order("u") < F.col("least")).select("u", F.col("u").alias("label"))
     frontier = labels
     for _ in range(hops):
         reached = edges.join(frontier, "u").groupBy("v").agg(F.min("label").alias("label")).withColumnRenamed("v", "u")
