@@ -64,3 +64,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("side"),
         F.col("position").alias("mention_no"),
     )
+
+
+#: SQL of ``p1_found``.
+P1_SQL = r"""WITH v AS (SELECT record_id, CAST(payload AS JSON) AS j FROM raw_record WHERE json_valid(payload)),
+d AS (SELECT record_id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') WHEN json_exists(j, '$.batch') THEN json_extract(j, '$.batch.documents[*]') WHEN json_exists(j, '$.document') THEN [json_extract(j, '$.document')] ELSE [j] END) AS doc FROM v),
+s AS (SELECT record_id, doc->>'document_id' AS document_id, CASE WHEN json_exists(doc, '$.sampled_pairs') THEN doc->'sampled_pairs' ELSE doc->'sampledPairs' END AS x FROM d),
+t AS (SELECT record_id, document_id, CASE WHEN json_type(x) = 'VARCHAR' THEN CAST(x->>'$' AS JSON) ELSE x END AS x FROM s),
+p AS (SELECT record_id, document_id, unnest(y) AS pair, generate_subscripts(y, 1) - 1 AS pair_no FROM (SELECT record_id, document_id, CASE WHEN json_type(x) = 'ARRAY' THEN json_extract(x, '$[*]') WHEN json_type(x) = 'OBJECT' THEN [x] END AS y FROM t)),
+m AS (SELECT record_id, document_id, pair_no, 'pers' AS side, coalesce(pair->'pers_mentions_list', json_extract(pair, '$.person.mentions')) AS z FROM p UNION ALL SELECT record_id, document_id, pair_no, 'loc', coalesce(pair->'loc_mentions_list', json_extract(pair, '$.location.mentions')) FROM p),
+e AS (SELECT record_id, document_id, pair_no, side, unnest(w) AS item, generate_subscripts(w, 1) - 1 AS mention_no FROM (SELECT *, CASE WHEN json_type(z) = 'ARRAY' THEN json_extract(z, '$[*]') WHEN json_type(z) IN ('VARCHAR', 'OBJECT') THEN [z] END AS w FROM m))
+SELECT record_id, document_id, CAST(pair_no AS BIGINT) AS pair_no, side, CAST(mention_no AS BIGINT) AS mention_no FROM e WHERE json_type(item) = 'VARCHAR' OR json_type(item) = 'OBJECT' AND json_type(item->'surface') = 'VARCHAR'"""

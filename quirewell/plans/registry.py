@@ -19,4 +19,4 @@ QUERIES: dict[str, Query] = {
     **texts.QUERIES,
     **models.QUERIES,
 }
-ORACLE: dict[str, str] = {**scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE, **models.ORACLE}
+ORACLE: dict[str, str] = {"p1_found": nested.P1_SQL, **scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE, **models.ORACLE}
