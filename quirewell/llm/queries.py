@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut, table
+from .oracles import ORACLE as ORACLE
 from . import canonical, leaks, neighbours, overlap, packing, scans, sentences, splits
 
 
@@ -120,4 +121,3 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired, p5_found, p5_splits, p6_found, p6_report, p2_found, p7_containers)}
-ORACLE: dict[str, str] = {}
