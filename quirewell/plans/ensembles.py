@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import labels as L, sampling as S, votes as V
 from ..operators.labels import KEY, null_to_false
 from ..session import table
-from .common import MODELS, PRED, WIDE, instances, predictions, wide
+from .common import MODELS, PRED, WIDE, predictions, wide
 from .scoring import SPLIT_SQL, document_split
 
 QUERIES: dict = {}
@@ -78,8 +78,6 @@ def j06_semi_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "relation_instance").join(test, "document_id", "left_semi").select("sample_id", "language").distinct()
 
 
-ROUTE = {"fr": MODELS[0], "de": MODELS[1]}
-
 
 @query(f"""WITH {PRED}, k AS (SELECT {KEYS}, max(language) AS language, max(at_predicted) FILTER (model = 'encoder-ft') AS p0, max(at_predicted) FILTER (model = 'llm-small-ctx') AS p1, max(at_predicted) FILTER (model = 'vote-lookup') AS p2 FROM pred GROUP BY ALL)
 SELECT {KEYS}, coalesce(CASE language WHEN 'fr' THEN p0 WHEN 'de' THEN p1 END, p2, 'MISSING') AS routed, CASE WHEN CASE language WHEN 'fr' THEN p0 WHEN 'de' THEN p1 END IS NOT NULL THEN 'route' WHEN p2 IS NOT NULL THEN 'default' ELSE 'none' END AS origin FROM k""")
@@ -176,7 +174,6 @@ def e01_vote_arrays(spark: SparkSession, d: str) -> DataFrame:
     return voted(spark, d).select(*KEY, "votes")
 
 
-TRAIN = "sp.split = 'train'"
 ORD = "CASE {} WHEN 'TRUE' THEN 2 WHEN 'PROBABLE' THEN 1 ELSE 0 END"
 MEDIAN = "CASE list_sort([" + ", ".join(ORD.format(f"at_{i}") for i in range(3)) + "])[2] WHEN 2 THEN 'TRUE' WHEN 1 THEN 'PROBABLE' ELSE 'FALSE' END"
 LOOKUP = WIDE + f""", {SPLIT_SQL}, w2 AS (SELECT wide.*, sp.split, {MEDIAN} AS med FROM wide JOIN sp USING (document_id)),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators import metrics as M
 from ..operators.labels import AT, IS_AT, KEY, null_to_false
 from ..session import table
-from .common import MODELS, PRED, WIDE, instances, predictions, wide
+from .common import MODELS, PRED, WIDE, predictions, wide
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -25,7 +25,6 @@ def query(sql: str | None = None):
     return keep
 
 
-N2F = "coalesce({}, 'FALSE')"
 COUNTS = PRED + ", c AS (SELECT model, coalesce(at_gold,'FALSE') AS gold, coalesce(at_predicted,'FALSE') AS p, count(*) AS n FROM pred GROUP BY ALL)"
 
 
@@ -217,8 +216,6 @@ def a20_confidence_bins(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(F.floor(F.col("conf") * 10).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count_if("hit").alias("n_right")).withColumn("accuracy", F.round(F.col("n_right") / F.col("n"), 6))
 
 
-DISTINCT = "r AS (SELECT DISTINCT ON (sample_id) * FROM relation_instance ORDER BY sample_id)"
-STAT = {"n_pers": "size(pers_mentions_list)", "n_loc": "size(loc_mentions_list)", "len_context": "length(context)"}
 
 
 @query("""SELECT field, min(v) AS lo, max(v) AS hi, round(avg(v), 6) AS mean, median(v) AS mid, count(v) AS n FROM (
