@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
 from . import fold
 
 LATIN, GREEK_ALIKE, CYRILLIC_ALIKE, GREEK_OWN, CYRILLIC_OWN, FOREIGN = 1, 2, 4, 8, 16, 32
@@ -246,7 +247,7 @@ def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     different spellings are joined; copies of one spelling form no pair.
     """
     slim = canonical(df.select(key, text).where(F.length(text) > 0), key, text, "_canonical")
-    rows = slim.select(F.col(key).alias("k"), F.sha2("_canonical", 256).alias("look"), F.sha2(F.col(text), 256).alias("raw"))
+    rows = cut(slim.select(F.col(key).alias("k"), F.sha2("_canonical", 256).alias("look"), F.sha2(F.col(text), 256).alias("raw")))
     kinds = rows.groupBy("look", "raw").agg(F.count("*").alias("n")).groupBy("look").agg(F.count("*").alias("kinds")).where("kinds > 1").select("look")
     some = rows.join(kinds, "look", "left_semi")
     a, b = some.select("look", F.col("k").alias("a"), F.col("raw").alias("raw_a")), some.select("look", F.col("k").alias("b"), F.col("raw").alias("raw_b"))
