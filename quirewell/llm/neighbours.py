@@ -223,25 +223,24 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 
 def copies(vectors: DataFrame) -> DataFrame:
-    """id, rep, rank of every vector that stands more than once: its first id, its place among the copies.
+    """id, rep of every vector that stands more than once: its own and its first copy's id.
 
     Copies are told by two hashes of the values, so only ids and hashes are
-    shuffled, and only groups of two or more are ranked.
+    shuffled, and a group however large is never sorted or gathered.
     """
     slim = vectors.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     several = slim.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1").drop("n")
-    place = Window.partitionBy("rep").orderBy("id")
-    return slim.join(several, ["h1", "h2"]).select("id", "rep").withColumn("rank", F.row_number().over(place))
+    return slim.join(several, ["h1", "h2"]).select("id", "rep")
 
 
-def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, most_fit: int = 20_000, shard: int = 12_000, most_shard: int = 24_000, reach: float = 1.5, degree: int = 20, width: int = 24) -> DataFrame:
+def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, most_fit: int = 20_000, shard: int = 4_000, most_shard: int = 8_000, reach: float = 1.5, degree: int = 20, width: int = 24) -> DataFrame:
     """id, other, cosine: for every vector its k most similar others, as far as their cosine is at least ``least``."""
     vectors = usable(df, key, vector, dim)
     n = vectors.count()
     if n == 0:
         return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"))
     again = cut(copies(vectors))
-    points = vectors.join(again.where("rank > 1").select("id"), "id", "left_anti")
+    points = vectors.join(again.where("id <> rep").select("id"), "id", "left_anti")
     sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(most_fit).select("v").collect()], dtype=np.float32)
     c = fit_centroids(unit(np.unique(sample, axis=0)), max(1, min(-(-n // shard), len(sample) // 8 or 1)))
     shared = df.sparkSession.sparkContext.broadcast(c)
@@ -323,9 +322,9 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least
         return met
 
     # ---- back from distinct vectors to rows: copies are each other's nearest, and come along with their first
-    firsts = again.where("rank = 1").select(F.col("rep").alias("id"))
-    itself = firsts.select("id", F.col("id").alias("other"), F.lit(2.0).alias("cosine"))
-    some = again.where(F.col("rank") <= k + 1).select(F.col("rep").alias("other"), F.col("id").alias("other_row"))
+    itself = again.where("id = rep").select("id", F.col("id").alias("other"), F.lit(2.0).alias("cosine"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))  # limited before the shuffle
+    some = again.withColumn("rank", place).where(F.col("rank") <= k + 1).select(F.col("rep").alias("other"), F.col("id").alias("other_row"))
     wide = met.unionByName(itself).join(some, "other", "left").withColumn("other_row", F.coalesce("other_row", "other"))
     rows = again.select(F.col("rep").alias("id"), F.col("id").alias("row"))
     out = wide.join(rows, "id", "left").withColumn("row", F.coalesce("row", "id")).where("row <> other_row")
