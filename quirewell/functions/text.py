@@ -250,6 +250,12 @@ def datelines(df: DataFrame, text: str, locs: str, region: int = 100) -> DataFra
     return t.withColumns(out).drop(*[f"_{k}" for k in tests])
 
 
+def span_near_edge(text: Column, span: Column, region: int = 100) -> Column:
+    """1.0 if a span's first occurrence starts in the first or last ``region`` characters."""
+    at = F.instr(text, span) - 1
+    return flag((span != "") & (at >= 0) & ((at < region) | (at > F.length(text) - region)))
+
+
 # ---- markers, templates, sentences
 
 

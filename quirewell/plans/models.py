@@ -162,3 +162,60 @@ def r08_k_sweep(spark: SparkSession, d: str) -> DataFrame:
     t = hits.join(e.select("vec_id", "label"), "vec_id").join(e.select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql")), "q_id")
     k = t.withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5)))).where("rank <= k")
     return k.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("ql")).alias("same_label"))
+
+
+@query()
+def m10_perceptron(spark: SparkSession, d: str) -> DataFrame:
+    """Recall by class of a two-layer perceptron on its own rows."""
+    t = items(spark, d)
+    p = ml.predicted(ml.perceptron(FEATURES, "label", classes=2, hidden=(8, 4)).fit(t), t, "label")
+    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 4).alias("recall"))
+
+
+@query()
+def m11_projected_logistic(spark: SparkSession, d: str) -> DataFrame:
+    """The logistic regression on principal components of the standardised features."""
+    t = items(spark, d)
+    p = ml.predicted(ml.logistic(FEATURES, "label", pca=3).fit(ml.weighted(t, "label")), t, "label")
+    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 4).alias("recall"))
+
+
+@query()
+def m17_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
+    """A prediction for every row by a model that hasn't seen its fold."""
+    return ml.out_of_fold(items(spark, d), "key", "label", lambda: ml.logistic(FEATURES, "label"), folds=3).select("key", "fold", "label", "predicted")
+
+
+@query()
+def m20_silhouette(spark: SparkSession, d: str) -> DataFrame:
+    """How well the labels of the embeddings part their first components."""
+    e = table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    return spark.createDataFrame([(round(ml.silhouette(e, [f"e{i}" for i in range(8)], "label"), 6),)], "silhouette double")
+
+
+@query()
+def g12_subtypes(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the vectors over affinity edges to their nearest rows; the queries are every id divisible by 50."""
+    from ..operators.retrieval import fetched
+
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    hits = fetched(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 11).where("q_id <> vec_id")
+    edges = hits.select(F.col("q_id").alias("src"), F.col("vec_id").alias("dst"), F.greatest(F.col("score"), F.lit(1e-6)).alias("weight"))
+    return ml.subtypes(edges, 2)
+
+
+@query("""WITH t AS (SELECT document_id, max(text) AS text FROM articles GROUP BY document_id), r AS (SELECT DISTINCT sample_id, document_id, loc_mentions_list[1] AS span FROM relation_instance)
+SELECT sample_id, CASE WHEN coalesce(span, '') = '' OR instr(text, span) = 0 THEN 0.0 WHEN instr(text, span) - 1 < 100 OR instr(text, span) - 1 > length(text) - 100 THEN 1.0 ELSE 0.0 END::DOUBLE AS near_edge FROM r JOIN t USING (document_id)""")
+def f21_span_in_dateline_region(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an extracted span (here the first place mention) starts in the head or tail where datelines stand."""
+    text = table(spark, d, "articles").groupBy("document_id").agg(F.max("text").alias("text"))
+    r = table(spark, d, "relation_instance").select("sample_id", "document_id", F.get("loc_mentions_list", F.lit(0)).alias("span")).distinct()
+    return r.join(text, "document_id").select("sample_id", T.span_near_edge(F.col("text"), F.col("span")).alias("near_edge"))
+
+
+@query()
+def f10_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """The composed enrichment over every delivered article, as the stream computes it."""
+    from ..streaming.enrich import enriched
+
+    return enriched(table(spark, d, "articles"))
