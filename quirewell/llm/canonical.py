@@ -100,6 +100,8 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
             keep = np.flatnonzero((b != 0) & ~np.isin(b, list(ALIKE_ONLY)))
             words = [words[i] for i in keep]
             skeleton = fold.skeletons(words)
+            if not words:
+                continue
             yield pd.DataFrame({"token": words, "skeleton": skeleton, "plain": plain[keep], "n": n[keep]})
 
     rows = df.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInPandas(work, TOKEN_DDL)
@@ -166,7 +168,8 @@ def spellings(df: DataFrame, text: str) -> DataFrame:
                 for token in group:
                     reached = trie.walk(token)
                     out.append((token, reached[0][2] if reached else skeleton))
-            yield pd.DataFrame(out, columns=["token", "canonical"])
+            if out:
+                yield pd.DataFrame(out, columns=["token", "canonical"])
 
     counted = token_counts(df, text)
     plain = F.collect_list(F.when(F.col("plain"), F.struct("token", "n")))
@@ -211,7 +214,8 @@ def canonical(df: DataFrame, key: str, text: str, out: str = "canonical_text") -
                     if wb not in PLAIN and wb not in ALIKE_ONLY:
                         rows.append(row)
                         found.append(w)
-            yield pd.DataFrame({"_row": np.array(rows, np.int64), "token": found})
+            if rows:
+                yield pd.DataFrame({"_row": np.array(rows, np.int64), "token": found})
 
     needed = slim.where(F.length("t") > 0).mapInPandas(odd, "_row bigint, token string").distinct()
     maps = needed.join(spellings(df, text), "token").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "canonical"))).alias("_spelled"))

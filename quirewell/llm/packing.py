@@ -95,7 +95,7 @@ def containers(sizes: DataFrame, key: str, capacity: int = 2048, per_shard: int
     full = F.expr(f"n_tokens div {capacity}").cast("int")
     whole = sizes.where(f"n_tokens >= {capacity}").select(F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
     whole = whole.select("k", "piece", (F.col("piece") * capacity).cast("bigint").alias("token_start"), ((F.col("piece") + 1) * capacity).cast("bigint").alias("token_end"))
-    whole = whole.withColumn("container", F.concat(F.lit("w"), F.col("k").cast("string"), F.lit("."), F.col("piece")))
+    whole = whole.withColumn("container", F.concat(F.lit("w"), F.monotonically_increasing_id().cast("string")))  # keys may repeat
     rests = sizes.where(f"n_tokens % {capacity} > 0").select(F.col(key).alias("k"), full.alias("piece"), (full * capacity).cast("bigint").alias("token_start"), F.col("n_tokens").alias("token_end"))
     n = rests.count()
     shards = max(1, -(-n // per_shard))
