@@ -52,12 +52,15 @@ class Naming:
     a child plays below its parent. ``signatures`` recognises an element by
     a field that only it has, wherever the object stands. ``inherit`` lists,
     per element, the scalar that its descendants repeat as a natural key.
+    ``tables`` are elements that get a table even where the records at hand
+    hold but one of them each.
     """
 
     elements: dict[str, str] = field(default_factory=dict)
     roles: dict[str, str] = field(default_factory=dict)
     signatures: dict[str, str] = field(default_factory=dict)
     inherit: dict[str, str] = field(default_factory=dict)
+    tables: tuple[str, ...] = ()
 
     def element(self, parent: str, name: str) -> str:
         return self.elements.get(f"{parent}.{name}") or self.elements.get(name) or snake(name)
@@ -147,7 +150,7 @@ def analyse(df: DataFrame, payload: str, naming: Naming) -> dict[tuple[str, str]
     return {(r.parent, r.child): r.asDict() for r in rows}
 
 
-def plan_tables(graph: dict[tuple[str, str], dict[str, int]]) -> TablePlan:
+def plan_tables(graph: dict[tuple[str, str], dict[str, int]], always: tuple[str, ...] = ()) -> TablePlan:
     """Shared inlining: tables for root, repeated, shared and recursive elements; all others are inlined."""
     parents: dict[str, set[str]] = {}
     children: dict[str, set[str]] = {}
@@ -182,6 +185,8 @@ def plan_tables(graph: dict[tuple[str, str], dict[str, int]]) -> TablePlan:
     for child in children.get(ROOT, ()):
         if child in complex_ and child != ROOT:
             reasons.setdefault(child, "root")
+    for child in always:
+        reasons.setdefault(child, "named")
     return TablePlan(frozenset(reasons), frozenset(encoded), reasons)
 
 
@@ -230,7 +235,7 @@ def shred(df: DataFrame, key: str, payload: str, naming: Naming, plan: TablePlan
     ``plan`` may be given when the schema graph is known; otherwise the records
     are analysed first.
     """
-    plan = plan or plan_tables(analyse(df, payload, naming))
+    plan = plan or plan_tables(analyse(df, payload, naming), naming.tables)
     names = [x.split()[0] for x in ROW_DDL.replace("map<string,string>", "map").split(", ")]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,6 +22,7 @@ DELIVERY = Naming(
     roles={"pers_mentions_list": "pers", "loc_mentions_list": "loc", "pair.person": "pers", "pair.location": "loc"},
     signatures={"document_id": "document", "sampled_pairs": "document", "sampledPairs": "document"},
     inherit={"document": "document_id"},
+    tables=("document", "pair", "mention"),
 )
 
 
