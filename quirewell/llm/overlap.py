@@ -3,15 +3,16 @@
 1. Records are canonicalised (case, punctuation, white space, page furniture
    and divided words left aside) into word sequences; a digest of the sequence
    finds exact repeats, and copies of one text are one class from here on.
-2. Near repeats are found by hashes of word shingles joined between the
-   evaluation and the training side. A shingle that stands in more than
-   ``hot`` classes is replaced by the longer one that starts at the same word
-   (five, ten, then twenty words), so stock phrases never meet each other,
-   while everything that two long agreeing runs share still does. The longest
-   shingles are joined however frequent they are: nothing is dropped.
-   Records under 28 words also use shingles of two words.
-3. Candidates that share enough shingles for their length are verified by the
-   longest common subsequence of words (bit-parallel): a pair counts if it
+2. Near repeats are found by hashes of five-word shingles that stand on both
+   the evaluation and the training side. Those of at most ``hot`` classes are
+   joined. Those of more, stock phrases and large families of near copies, are
+   counted in blocks: classes of about one length meet block by block, and an
+   inverted index counts what each pair shares. No shingle is dropped or
+   replaced. Records under 28 words also use shingles of two words.
+3. Candidates share shingles at 1 % of the longer record's words, rare or hot
+   (so every pair that shares 2 % in all is one). In blocks, pairs whose words
+   can't agree in any order (a bound by counts of hashed words) go first; the
+   rest are verified by the longest common subsequence of words (bit-parallel): a pair counts if it
    covers the share ``agree`` of the longer record.
 4. Pairs of classes become pairs of records by the classes' members.
 
@@ -33,9 +34,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 from .leaks import windows
 
-LENGTHS = (2, 5, 10, 20)
 SHORT = 28
-ROW_DDL = "base int, h2 bigint, h5 bigint, h10 bigint, h20 bigint, id bigint, n int, eval boolean, train boolean"
+BUCKETS = 512
+ROW_DDL = "base int, key bigint, id bigint, n int, eval boolean, train boolean"
 
 
 def lcs(a: list, b: list) -> int:
@@ -76,57 +77,84 @@ def _canonical(records: DataFrame, words: Callable[[str, str | None], list[str]]
 
 
 def _shingles(classes: DataFrame) -> DataFrame:
-    """One row per word of every class: the shingles that start there (null where the text ends before)."""
+    """One row per class and distinct shingle."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts: list[dict] = []
+            parts: list[tuple] = []
             for k, n, w, e, t in zip(batch["cid"], batch["n"], batch["words"], batch["eval"], batch["train"]):
                 values = np.asarray(w, dtype=np.int64).view(np.uint64)
-                h = {size: windows(values, size).view(np.int64) for size in LENGTHS}
                 for base in (5, 2) if n < SHORT else (5,):
-                    _, first = np.unique(h[base], return_index=True)
-                    if not len(first):
-                        continue
-                    part = {"base": np.full(len(first), base, np.int32), "id": np.full(len(first), k, np.int64), "n": np.full(len(first), n, np.int32), "eval": np.full(len(first), e), "train": np.full(len(first), t)}
-                    for size in LENGTHS:
-                        ok = first < len(h[size])
-                        part[f"h{size}"] = np.where(ok, h[size][np.minimum(first, max(len(h[size]) - 1, 0))] if len(h[size]) else 0, 0)
-                        part[f"m{size}"] = ~ok
-                    parts.append(part)
+                    h = np.unique(windows(values, base)).view(np.int64)
+                    parts.append((np.full(len(h), base, np.int32), h, np.full(len(h), k, np.int64), np.full(len(h), n, np.int32), np.full(len(h), e), np.full(len(h), t)))
             if parts:
-                whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
-                out = {"base": whole["base"]}
-                for size in LENGTHS:
-                    out[f"h{size}"] = pd.arrays.IntegerArray(whole[f"h{size}"], whole[f"m{size}"])
-                yield pd.DataFrame(out | {c: whole[c] for c in ("id", "n", "eval", "train")})
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("base", "key", "id", "n", "eval", "train"), zip(*parts))})
 
     return classes.select("cid", "n", "words", "eval", "train").mapInPandas(work, ROW_DDL)
 
 
 def _keys(rows: DataFrame, hot: int) -> DataFrame:
-    """length, key, id, n, eval, train: for each word the shortest shingle that isn't hot, else the longest there is."""
-    out = None
-    for base in (5, 2):
-        todo = rows.where(F.col("base") == base)
-        sizes = [s for s in LENGTHS if s >= base]
-        for i, size in enumerate(sizes):
-            h = F.col(f"h{size}")
-            some = todo.where(h.isNotNull())
-            sides = [F.sum(F.col(x).cast("int")).alias(f"n_{x}") for x in ("eval", "train")]
-            counts = some.groupBy(h.alias("key")).agg(F.count("*").alias("m"), *sides).where("m > 1 and n_eval > 0 and n_train > 0")
-            met = some.join(counts, h == counts["key"]).drop("key")
-            last = i == len(sizes) - 1
-            longer = F.col(f"h{sizes[i + 1]}") if not last else None
-            stay = met if last else met.where((F.col("m") <= hot) | longer.isNull())
-            picked = stay.select(F.lit(size + 100 * base).alias("length"), h.alias("key"), "id", "n", "eval", "train")
-            out = picked if out is None else out.unionByName(picked)
-            if not last:
-                todo = met.where((F.col("m") > hot) & longer.isNotNull()).drop("m", "n_eval", "n_train")
-    return out.distinct()
-
-
-def overlaps(records: DataFrame, words: Callable[[str, str | None], list[str]], train: str = "train", agree: float = 0.75, hot: int = 20) -> DataFrame:
+    """The rows whose shingle stands on both sides, and whether it is hot."""
+    sides = [F.count_if(x).alias(f"n_{x}") for x in ("eval", "train")]
+    counts = rows.groupBy("base", "key").agg(F.count("*").alias("m"), *sides).where("m > 1 and n_eval > 0 and n_train > 0")
+    return rows.join(counts.select("base", "key", (F.col("m") > hot).alias("hot")), ["base", "key"])
+
+
+def _bags(words: pd.Series) -> np.ndarray:
+    """How many of each row's words fall into each bucket."""
+    sizes = np.array([len(w) for w in words])
+    flat = np.concatenate([*words, np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64) % np.uint64(BUCKETS)
+    out = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + flat.astype(np.int64), minlength=len(sizes) * BUCKETS).reshape(-1, BUCKETS)
+    return out.astype(np.uint8 if out.max(initial=0) < 256 else np.int32)
+
+
+def _block(left: pd.DataFrame, right: pd.DataFrame, agree: float, floor: float) -> pd.DataFrame:
+    """a, b of the pairs of two blocks that share enough hot shingles and whose words can agree."""
+    a: list[np.ndarray] = [np.zeros(0, np.int64)]
+    b: list[np.ndarray] = [np.zeros(0, np.int64)]
+    if len(left) and len(right):
+        row = np.repeat(np.arange(len(right)), [len(k) for k in right["keys"]])
+        flat = np.concatenate(list(right["keys"]))
+        order = np.argsort(flat, kind="stable")
+        keys, starts = np.unique(flat[order], return_index=True)
+        rows, ends = row[order], np.append(starts[1:], len(flat))
+        ids, n, bags = right["id"].to_numpy(), right["n"].to_numpy(), _bags(right["words"])
+        for i, own, size, bag in zip(left["id"], left["keys"], left["n"], _bags(left["words"])):
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            at = at[keys[at] == own]
+            if not len(at):
+                continue
+            shared = np.bincount(np.concatenate([rows[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]), minlength=len(right))
+            longer = np.maximum(n, size)
+            j = np.flatnonzero((shared >= np.maximum(1, np.floor(floor * longer))) & (np.minimum(n, size) >= agree * longer) & (ids != i))
+            j = j[np.minimum(bags[j], bag).sum(axis=1) >= agree * longer[j]]
+            a.append(np.full(len(j), i, np.int64))
+            b.append(ids[j])
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _hot_pairs(keys: DataFrame, classes: DataFrame, agree: float, floor: float, block: int = 4_000) -> DataFrame:
+    """a, b: candidates by hot shingles. Two records that agree lie in the same or neighbouring bands of length."""
+    band = F.floor(F.log(F.col("n").cast("double")) / (max(-np.log(agree), 0.05) + 1e-9))
+    held = keys.where("hot").groupBy("id").agg(F.collect_list("key").alias("keys"))
+    held = cut(held.join(classes.select(F.col("cid").alias("id"), "n", "words", "eval", "train"), "id").withColumn("band", band))
+    many = {r["band"]: (r["e"], r["t"]) for r in held.groupBy("band").agg(F.count_if("eval").alias("e"), F.count_if("train").alias("t")).collect()}
+    blocks = {k: tuple(-(-x // block) for x in v) for k, v in many.items()}
+
+    def side(name: str, own: int) -> DataFrame:
+        """The classes of a side, each in its block, once for every block of the other side that it meets."""
+        meets = {k: [(x, i) for x in (k - 1, k, k + 1) for i in range(blocks.get(x, (0, 0))[1 - own])] for k in blocks if blocks[k][own]}
+        rows = [(k, blocks[k][own], x, i) for k, v in meets.items() for x, i in v]
+        plan = held.sparkSession.createDataFrame(rows, "band bigint, n_blocks bigint, other_band bigint, other_block bigint")
+        t = held.where(name).join(F.broadcast(plan), "band").withColumn("own", F.pmod(F.xxhash64("id"), "n_blocks"))
+        group = [F.col("band"), F.col("own"), F.col("other_band"), F.col("other_block")]
+        return t.select(*[c.alias(f"g{i}") for i, c in enumerate(group if own == 0 else group[2:] + group[:2])], *[F.col(x).alias(x) for x in ("id", "n", "keys", "words")])
+
+    cols = ["g0", "g1", "g2", "g3"]
+    return side("eval", 0).groupBy(*cols).cogroup(side("train", 1).groupBy(*cols)).applyInPandas(lambda x, y: _block(x, y, agree, floor), "a bigint, b bigint")
+
+
+def overlaps(records: DataFrame, words: Callable[[str, str | None], list[str]], train: str = "train", agree: float = 0.75, hot: int = 20, floor: float = 0.01) -> DataFrame:
     """eval_key, eval_split, train_key, exact: every overlap between an evaluation and a training record.
 
     ``records``: k (key), x (text), h (title, may be null), split; keys unique.
@@ -135,14 +163,16 @@ def overlaps(records: DataFrame, words: Callable[[str, str | None], list[str]],
     is_train = F.col("split") == train
     classes = canon.groupBy("digest").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.bool_or(~is_train).alias("eval"), F.bool_or(is_train).alias("train"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
-    rows = _shingles(classes).persist(StorageLevel.DISK_ONLY)  # every level reads them; a lost part is made again
+    rows = _shingles(classes).persist(StorageLevel.DISK_ONLY)  # counted, then joined; a lost part is made again
     keys = cut(_keys(rows, hot))
     rows.unpersist()
-    a = keys.where("eval").select("length", "key", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = keys.where("train").select("length", "key", F.col("id").alias("b"), F.col("n").alias("nb"))
+    cold = keys.where(~F.col("hot"))
+    a = cold.where("eval").select("base", "key", F.col("id").alias("a"), F.col("n").alias("na"))
+    b = cold.where("train").select("base", "key", F.col("id").alias("b"), F.col("n").alias("nb"))
     close = (F.least("na", "nb") >= agree * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-    met = a.join(b, ["length", "key"]).where(close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    met = met.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(0.02 * F.greatest("na", "nb")))).select("a", "b")
+    met = a.join(b, ["base", "key"]).where(close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    met = met.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(floor * F.greatest("na", "nb")))).select("a", "b")
+    met = met.union(_hot_pairs(keys, classes, agree, floor)).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -142,3 +142,22 @@ def test_overlaps_equal_brute_force(spark):
         got = {(r.eval_key, r.train_key) for r in O.overlaps(df, scans.continuous_words, hot=hot).collect()}
         assert got == want and want
     assert O.overlaps(df.where("false"), scans.continuous_words).count() == 0
+
+
+def test_large_family_of_near_copies_loses_no_pair(spark):
+    rnd = random.Random(5)
+    body = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+    rows = [(f"d{i:03}", " ".join(f"w{rnd.randrange(5000)}" if rnd.random() < 0.12 else w for w in body), None, "train" if i % 3 else "val") for i in range(240)]
+    rows += [(f"u{i:03}", " ".join(body[:12] + [f"w{rnd.randrange(5000)}" for _ in range(100)]), None, "train" if i % 3 else "val") for i in range(60)]
+    words = [(k, x.split(), s) for k, x, _, s in rows]
+    want = {(a, b) for a, x, s in words for b, y, t in words if s == "val" and t == "train" and O.lcs(x, y) >= 0.75 * max(len(x), len(y))}
+    df = spark.createDataFrame(rows, "k string, x string, h string, split string")
+    got = {(r.eval_key, r.train_key) for r in O.overlaps(df, scans.continuous_words).collect()}
+    assert got == want and len(want) > 5000
+
+
+def test_blocks_and_neighbouring_bands_meet_whole(spark):
+    classes = spark.createDataFrame([(i, n, [9] * n, i % 2 == 0, i % 2 == 1) for i, n in enumerate([40] * 6 + [53] * 6)], "cid long, n int, words array<long>, eval boolean, train boolean")
+    keys = classes.select(F.lit(7).cast("long").alias("key"), F.col("cid").alias("id"), F.lit(True).alias("hot"))
+    got = sorted((r.a, r.b) for r in O._hot_pairs(keys, classes, 0.75, 0.01, block=2).collect())
+    assert got == [(a, b) for a in range(0, 12, 2) for b in range(1, 12, 2)]
