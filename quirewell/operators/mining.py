@@ -78,11 +78,13 @@ def discover(df: DataFrame, features: list[str], positive: str, chains: int = 8,
     A chain starts from the box of two positives and walks by tightening,
     loosening, dropping and adding intervals, keeping boxes closed on the
     positives. Chains are rows of a range, each a task; they share a sample of
-    at most ``most_rows`` rows (by hash), broadcast for that bound. Patterns are
-    then evaluated on all rows with ``evaluate``.
+    at most ``most_rows`` rows (by hash), broadcast for that bound. The boxes
+    they end with are closed on the positives of all rows, and nwracc, support
+    and support_pos are those of ``evaluate`` over all rows.
     """
     spark = df.sparkSession
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(positive).cast("boolean").alias("y")).dropna().orderBy(F.xxhash64(*features, "y")).limit(most_rows).toPandas()
+    every = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(positive).cast("boolean").alias("y")).dropna()
+    rows = every.orderBy(F.xxhash64(*features, "y")).limit(most_rows).toPandas()
     x, y = rows[features].to_numpy(), rows["y"].to_numpy()
     shared = spark.sparkContext.broadcast((x, y))
 
@@ -140,11 +142,26 @@ def discover(df: DataFrame, features: list[str], positive: str, chains: int = 8,
                         lo, hi, active, value = lo2, hi2, on, v
                         if v > best[0]:
                             best = (v, lo2, hi2, on, m2)
-                v, lo_, hi_, on, m = best
-                out.append((chain, float(v), int(m.sum()), int((m & y).sum()), lo_.tolist(), hi_.tolist(), on.tolist()))
-            yield pd.DataFrame(out, columns=["chain", "nwracc", "support", "support_pos", "lo", "hi", "active"])
-
-    return spark.range(chains, numPartitions=chains).mapInPandas(walk, "chain bigint, nwracc double, support bigint, support_pos bigint, lo array<double>, hi array<double>, active array<boolean>")
+                _, lo_, hi_, on, _ = best
+                out.append((chain, lo_.tolist(), hi_.tolist(), on.tolist()))
+            yield pd.DataFrame(out, columns=["chain", "lo", "hi", "active"])
+
+    boxes = spark.range(chains, numPartitions=chains).mapInPandas(walk, "chain bigint, lo array<double>, hi array<double>, active array<boolean>").orderBy("chain").collect()
+    ends = _closed_boxes(every, features, [{f: (lo, hi) for f, lo, hi, on in zip(features, b.lo, b.hi, b.active) if on} for b in boxes])
+    bounds = [(i, b.chain, *[[p[f][j] if f in p else v for f, v in zip(features, (b.lo, b.hi)[j])] for j in (0, 1)], b.active) for i, (b, p) in enumerate(zip(boxes, ends))]
+    t = spark.createDataFrame(bounds, "pattern_id int, chain bigint, lo array<double>, hi array<double>, active array<boolean>")
+    if not ends:
+        return t.select("chain", F.lit(0.0).alias("nwracc"), *[F.lit(0).cast("bigint").alias(c) for c in ("support", "support_pos")], "lo", "hi", "active")
+    return evaluate(every, ends, F.col("y")).join(F.broadcast(t), "pattern_id").select("chain", "nwracc", "support", "support_pos", "lo", "hi", "active")
+
+
+def _closed_boxes(df: DataFrame, features: list[str], patterns: list[Pattern]) -> list[Pattern]:
+    """Each pattern closed on the rows of ``df`` where y holds, in one aggregation; as it is if it has none."""
+    if not patterns:
+        return []
+    inside = [(i, f, F.when(matches(p) & F.col("y"), F.col(f))) for i, p in enumerate(patterns) for f in p]
+    one = df.agg(*[x for i, f, v in inside for x in (F.min(v).alias(f"lo_{i}_{f}"), F.max(v).alias(f"hi_{i}_{f}"))]).first()
+    return [{f: bounds if one[f"lo_{i}_{f}"] is None else (one[f"lo_{i}_{f}"], one[f"hi_{i}_{f}"]) for f, bounds in p.items()} for i, p in enumerate(patterns)]
 
 
 def jaccard(a: set, b: set) -> float:

@@ -285,3 +285,20 @@ def test_entropy_of_ambiguity(spark):
     got = [r[0] for r in df.select(V.binary_ambiguity(F.col("p"))).collect()]
     h = -(0.9 * math.log(0.9) + 0.1 * math.log(0.1)) / math.log(2)
     assert got[:3] == [1.0, 0.0, 0.0] and abs(got[3] - h * 0.2) < 1e-9
+
+
+def test_discovered_boxes_are_counted_on_all_rows(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.uniform(0, 10), rnd.uniform(0, 10)) for _ in range(3000)]
+    rows = [(x, y, 3 <= x <= 6 and rnd.random() < 0.9) for x, y in rows] + [(None, 1.0, True), (4.0, 4.0, None)]
+    got = G.discover(frame(spark, rows, "x0 double, x1 double, y boolean"), ["x0", "x1"], "y", chains=3, steps=60, most_rows=200).collect()
+    whole = rows[:-2]
+    share = sum(r[2] for r in whole) / len(whole)
+    assert len(got) == 3
+    for g in got:
+        inside = [r for r in whole if all(not on or lo <= v <= hi for v, lo, hi, on in zip(r, g.lo, g.hi, g.active))]
+        positive = [r for r in inside if r[2]]
+        assert (g.support, g.support_pos) == (len(inside), len(positive)) and g.support > 200
+        assert abs(g.nwracc - len(inside) / len(whole) * (len(positive) / len(inside) - share) / (share * (1 - share))) < 1e-5
+        assert all(not on or (min(r[j] for r in positive), max(r[j] for r in positive)) == (g.lo[j], g.hi[j]) for j, on in enumerate(g.active))
+    assert G.discover(frame(spark, [(1.0, 1.0, True)], "x0 double, x1 double, y boolean"), ["x0", "x1"], "y", chains=2).collect() == []
