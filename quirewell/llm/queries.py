@@ -21,6 +21,12 @@ def p3_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key.document_id", "key.loaded_at", "start_char", "end_char")
 
 
+def p3_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of relation_instance.context; of a sample delivered twice, those of every delivery."""
+    df = table(spark, sf_dir, "relation_instance").select("sample_id", "context", "language")
+    return sentences.sentences(df, "sample_id", "context", "language")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they contain."""
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
@@ -68,6 +74,18 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired(scanned_articles(spark, sf_dir), "document_id", "text", "language", "title", article_editor(spark, sf_dir))
 
 
+def p4_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """relation_instance.context as continuous readable paragraphs; headers are told by the article's title."""
+    titles = table(spark, sf_dir, "articles").groupBy("document_id").agg(F.max("media.publication_title").alias("title"))
+    df = table(spark, sf_dir, "relation_instance").select("sample_id", "document_id", "context", "language").join(titles, "document_id", "left")
+    return scans.repaired(df, "sample_id", "context", "language", "title", article_editor(spark, sf_dir))
+
+
+def p4_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """relation_instance.pers_mentions_list with clean mentions, each in its place."""
+    return scans.repaired_mentions(table(spark, sf_dir, "relation_instance"), "sample_id", "pers_mentions_list", "language", article_editor(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every article: the smallest source within it."""
     df = table(spark, sf_dir, "articles")
@@ -120,4 +138,4 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(cut(packing.measured(table(spark, sf_dir, "documents"), "doc_id", "text")), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired, p5_found, p5_splits, p6_found, p6_report, p2_found, p7_containers)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p3_context, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired, p4_context, p4_mentions, p5_found, p5_splits, p6_found, p6_report, p2_found, p7_containers)}

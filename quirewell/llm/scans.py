@@ -498,6 +498,19 @@ def mention_defects(df: DataFrame, key: str, mentions: str, lang: str, editor: E
     return picked.mapInPandas(work, "record_key string, pos bigint, defect string")
 
 
+def repaired_mentions(df: DataFrame, key: str, mentions: str, lang: str, editor: Editor) -> DataFrame:
+    """key, clean_mentions: every row's mentions without divided and misread words; null lists and entries stay null."""
+    shared = df.sparkSession.sparkContext.broadcast(editor)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lists = [None if names is None else inspect_mentions(list(names), language, shared.value)[1] for names, language in zip(batch["m"], batch["l"])]
+            yield pd.DataFrame({"k": batch["k"], "clean_mentions": lists})
+
+    picked = df.select(F.col(key).alias("k"), F.col(mentions).alias("m"), F.coalesce(F.col(lang), F.lit("")).alias("l"))
+    return picked.mapInPandas(work, "k string, clean_mentions array<string>").withColumnRenamed("k", key)
+
+
 def continuous_words(text: str, title: str | None) -> list[str]:
     """The words of a scanned text, furniture, line breaks and word divisions left aside (no model needed)."""
     lines = text.split("\n")

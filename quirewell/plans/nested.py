@@ -76,3 +76,44 @@ p AS (SELECT record_id, document_id, unnest(y) AS pair, generate_subscripts(y, 1
 m AS (SELECT record_id, document_id, pair_no, 'pers' AS side, coalesce(pair->'pers_mentions_list', json_extract(pair, '$.person.mentions')) AS z FROM p UNION ALL SELECT record_id, document_id, pair_no, 'loc', coalesce(pair->'loc_mentions_list', json_extract(pair, '$.location.mentions')) FROM p),
 e AS (SELECT record_id, document_id, pair_no, side, unnest(w) AS item, generate_subscripts(w, 1) - 1 AS mention_no FROM (SELECT *, CASE WHEN json_type(z) = 'ARRAY' THEN json_extract(z, '$[*]') WHEN json_type(z) IN ('VARCHAR', 'OBJECT') THEN [z] END AS w FROM m))
 SELECT record_id, document_id, CAST(pair_no AS BIGINT) AS pair_no, side, CAST(mention_no AS BIGINT) AS mention_no FROM e WHERE json_type(item) = 'VARCHAR' OR json_type(item) = 'OBJECT' AND json_type(item->'surface') = 'VARCHAR'"""
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """articles with a key per delivery: of a document delivered twice, each delivery is a row of its own."""
+    return table(spark, sf_dir, "articles").withColumn("row_id", F.concat("document_id", F.lit("@"), F.coalesce(F.date_format("loaded_at", "yyyyMMddHHmmssSSSSSS"), F.lit(""))))
+
+
+def p1_article_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per delivered article."""
+    media = [F.col(f"media.{c}").alias(f"media_{c}") for c in ("publication_title", "time_period", "source_type")]
+    return articles(spark, sf_dir).select("row_id", "document_id", "loaded_at", "source", "language", "date", "text", *media, "correspondent")
+
+
+def article_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = articles(spark, sf_dir).select(F.col("row_id").alias("parent_id"), "document_id", F.posexplode("sampled_pairs").alias("pair_no", "p")).where("p is not null")
+    return t.withColumn("row_id", F.concat("parent_id", F.lit("/pair"), "pair_no"))
+
+
+def p1_article_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per pair of articles.sampled_pairs; null pairs keep their position. ``parent_id`` is the key of its article."""
+    cols = ["pers_entity_id", "pers_wikidata_QID", "loc_entity_id", "loc_wikidata_QID", "at", "at_explanation", "isAt", "isAt_explanation"]
+    return article_pairs(spark, sf_dir).select("row_id", "parent_id", "document_id", "pair_no", *[F.col(f"p.{c}").alias(c) for c in cols])
+
+
+def p1_article_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per mention of articles.sampled_pairs; null mentions keep their position. ``parent_id`` is the key of its pair."""
+    t = article_pairs(spark, sf_dir)
+    sides = [t.select(F.col("row_id").alias("parent_id"), "document_id", F.lit(x).alias("side"), F.posexplode(f"p.{x}_mentions_list").alias("mention_no", "mention")) for x in ("pers", "loc")]
+    return sides[0].union(sides[1]).where("mention is not null").withColumn("row_id", F.concat("parent_id", F.lit("/"), "side", "mention_no"))
+
+
+_ARTICLES_SQL = """a AS (SELECT *, document_id || '@' || coalesce(strftime(loaded_at, '%Y%m%d%H%M%S%f'), '') AS row_id FROM articles),
+x AS (SELECT row_id AS parent_id, document_id, unnest(sampled_pairs) AS p, CAST(generate_subscripts(sampled_pairs, 1) - 1 AS INTEGER) AS pair_no FROM a),
+p AS (SELECT *, parent_id || '/pair' || pair_no AS row_id FROM x WHERE p IS NOT NULL)"""
+#: SQL of the queries over articles.
+ARTICLE_SQL = {
+    "p1_article_documents": f"WITH {_ARTICLES_SQL} SELECT row_id, document_id, loaded_at, source, language, date, text, media.publication_title AS media_publication_title, media.time_period AS media_time_period, media.source_type AS media_source_type, correspondent FROM a",
+    "p1_article_pairs": f'WITH {_ARTICLES_SQL} SELECT row_id, parent_id, document_id, pair_no, p.pers_entity_id, p."pers_wikidata_QID", p.loc_entity_id, p."loc_wikidata_QID", p."at", p.at_explanation, p."isAt", p."isAt_explanation" FROM p',
+    "p1_article_mentions": f"""WITH {_ARTICLES_SQL}, m AS (SELECT row_id AS parent_id, document_id, 'pers' AS side, unnest(p.pers_mentions_list) AS mention, CAST(generate_subscripts(p.pers_mentions_list, 1) - 1 AS INTEGER) AS mention_no FROM p
+UNION ALL SELECT row_id, document_id, 'loc', unnest(p.loc_mentions_list), CAST(generate_subscripts(p.loc_mentions_list, 1) - 1 AS INTEGER) FROM p) SELECT parent_id || '/' || side || mention_no AS row_id, parent_id, document_id, side, mention_no, mention FROM m WHERE mention IS NOT NULL""",
+}

@@ -14,9 +14,12 @@ QUERIES: dict[str, Query] = {
     "p1_found": nested.p1_found,
     "p1_documents": nested.p1_documents,
     "p1_pairs": nested.p1_pairs,
+    "p1_article_documents": nested.p1_article_documents,
+    "p1_article_pairs": nested.p1_article_pairs,
+    "p1_article_mentions": nested.p1_article_mentions,
     **scoring.QUERIES,
     **ensembles.QUERIES,
     **texts.QUERIES,
     **models.QUERIES,
 }
-ORACLE: dict[str, str] = {"p1_found": nested.P1_SQL, **scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE, **models.ORACLE}
+ORACLE: dict[str, str] = {"p1_found": nested.P1_SQL, **nested.ARTICLE_SQL, **scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE, **models.ORACLE}

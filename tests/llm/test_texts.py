@@ -217,3 +217,22 @@ def test_measured_by_a_public_tokenizer(spark):
     df = texts(spark, [(1, "Hello world"), (2, None), (3, ""), (4, "<|endoftext|>")])
     assert {r.doc_id for r in packing.measured(df, "doc_id", "text").collect()} == {1, 4}
     assert F.lit(1) is not None
+
+
+def test_clean_mentions_and_contexts(spark):
+    from conftest import SF
+    from quirewell.llm.queries import QUERIES
+    from quirewell.session import table
+
+    df = spark.createDataFrame(corpus(), "document_id string, text string, language string, title string, names array<string>")
+    editor = scans.train(df, "text", "language", "title", "names")
+    rows = spark.createDataFrame([("a", ["Jean Verlonet", "Verlonet", "Vcrlonet", "Verl- onet", None], "fr"), ("b", None, "fr"), ("c", [], None)], "k string, m array<string>, l string")
+    got = {r.k: r.clean_mentions for r in scans.repaired_mentions(rows, "k", "m", "l", editor).collect()}
+    assert got == {"a": ["Jean Verlonet", "Verlonet", "Verlonet", "Verlonet", None], "b": None, "c": []}
+    samples = table(spark, SF, "relation_instance")
+    assert QUERIES["p4_mentions"](spark, SF).count() == samples.count()
+    clean = [r.clean_text for r in QUERIES["p4_context"](spark, SF).collect()]
+    assert len(clean) == samples.count() and not any("\n" in x.replace("\n\n", "") for x in clean if x)
+    spans = QUERIES["p3_context"](spark, SF)
+    assert spans.columns == ["sample_id", "start_char", "end_char"]
+    assert spans.select("sample_id").distinct().count() == samples.where("trim(context) <> ''").select("sample_id").distinct().count()
