@@ -54,6 +54,18 @@ def fetched(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_of_all(df: DataFrame, key: str, vector: str, k: int, at_once: int = 50_000) -> DataFrame:
+    """q_id, key, score, rank: the k best other rows of every row, exact; queries go in parts of about ``at_once``, so any number fits."""
+    parts = df.count() // at_once + 1
+    out = None
+    for i in range(parts):
+        queries = df if parts == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)
+        hits = fetched(queries, df, key, vector, k + 1)
+        out = hits if out is None else out.unionByName(hits)
+    w = Window.partitionBy("q_id").orderBy("rank")
+    return out.where(F.col("q_id") != F.col(key)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def selected(hits: DataFrame, rows: DataFrame, key: str, language: str, label: str | None, k: int) -> DataFrame:
     """The k places of each query: not the query itself, its language first, padded with others.
 

@@ -188,19 +188,22 @@ def m17_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m20_silhouette(spark: SparkSession, d: str) -> DataFrame:
-    """How well the labels of the embeddings part their first components."""
-    e = table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return spark.createDataFrame([(round(ml.silhouette(e, [f"e{i}" for i in range(8)], "label"), 6),)], "silhouette double")
+    """How well the labels of the embeddings part them, over all components."""
+    t = table(spark, d, "embeddings")
+    width = t.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"e{i}" for i in range(width)]
+    e = t.select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names)])
+    return spark.createDataFrame([(round(ml.silhouette(e, names, "label"), 6),)], "silhouette double")
 
 
 @query()
 def g12_subtypes(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of the vectors over affinity edges to their nearest rows; the queries are every id divisible by 50."""
-    from ..operators.retrieval import fetched
+    """Clusters of the vectors over affinity edges from every one of them to its 10 nearest; an edge found from both ends counts once."""
+    from ..operators.retrieval import nearest_of_all
 
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    hits = fetched(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 11).where("q_id <> vec_id")
-    edges = hits.select(F.col("q_id").alias("src"), F.col("vec_id").alias("dst"), F.greatest(F.col("score"), F.lit(1e-6)).alias("weight"))
+    ends = [F.least("q_id", "vec_id").alias("src"), F.greatest("q_id", "vec_id").alias("dst")]
+    edges = nearest_of_all(e, "vec_id", "embedding", 10).groupBy(*ends).agg(F.greatest(F.max("score"), F.lit(1e-6)).alias("weight"))
     return ml.subtypes(edges, 2)
 
 

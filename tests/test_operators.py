@@ -302,3 +302,27 @@ def test_discovered_boxes_are_counted_on_all_rows(spark):
         assert abs(g.nwracc - len(inside) / len(whole) * (len(positive) / len(inside) - share) / (share * (1 - share))) < 1e-5
         assert all(not on or (min(r[j] for r in positive), max(r[j] for r in positive)) == (g.lo[j], g.hi[j]) for j, on in enumerate(g.active))
     assert G.discover(frame(spark, [(1.0, 1.0, True)], "x0 double, x1 double, y boolean"), ["x0", "x1"], "y", chains=2).collect() == []
+
+
+def test_every_vector_has_a_subtype_and_all_components_count(spark):
+    import numpy as np
+    from conftest import SF
+    from quirewell.operators.retrieval import nearest_of_all
+    from quirewell.plans.registry import QUERIES
+    from quirewell.session import table
+
+    e = table(spark, SF, "embeddings").select("vec_id", "embedding", "label")
+    rows = e.orderBy("vec_id").collect()
+    assert {r.id for r in QUERIES["g12_subtypes"](spark, SF).collect()} == {r.vec_id for r in rows}
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    d, y = ((x[:, None] - x[None]) ** 2).sum(2), np.array([r.label for r in rows])
+    values = []
+    for i, label in enumerate(y):
+        same = (y == label).sum()
+        own = d[i, y == label].sum() / max(same - 1, 1)
+        other = min(d[i, y == k].mean() for k in set(y.tolist()) - {label})
+        values.append((other - own) / max(own, other) if same > 1 else 0.0)
+    assert abs(QUERIES["m20_silhouette"](spark, SF).first()[0] - np.mean(values)) < 1e-4
+    few = e.where("vec_id < 60")
+    sets = [{(r.q_id, r.vec_id, r["rank"]) for r in nearest_of_all(few, "vec_id", "embedding", 3, n).collect()} for n in (1000, 20)]
+    assert sets[0] == sets[1] and len(sets[0]) == 3 * few.count()
