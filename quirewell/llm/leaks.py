@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import fold
 
@@ -189,7 +189,8 @@ def _joined(corpus: DataFrame, held: DataFrame, words: int, letters: int, chars_
                         if not len(at):
                             continue
                         yield pd.DataFrame({
-                            "k": ids[np.array(which, int)[units.doc[at]]],
+                            "k": ids[np.array(which, int)[units.doc[at]]], "row": part["r"].to_numpy()[np.array(which, int)[units.doc[at]]],
+                            "place": at - np.searchsorted(units.doc, units.doc[at]),
                             "unspaced": unspaced, "h": h[at].view(np.int64),
                             "digest": [hashlib.blake2b(units.content(i, size), digest_size=16).digest() for i in at.tolist()],
                             "start_char": units.start[at], "end_char": units.end[at + size - 1],
@@ -197,12 +198,17 @@ def _joined(corpus: DataFrame, held: DataFrame, words: int, letters: int, chars_
 
         return work
 
-    ddl = "k {}, unspaced boolean, h bigint, digest binary, start_char bigint, end_char bigint"
-    a = corpus.withColumn("l", F.lit(None).cast("string")).mapInPandas(emit(True), ddl.format(keys["key"]))
-    b = held.mapInPandas(emit(False), ddl.format(keys["item"])).select(F.col("k").alias("item"), "unspaced", "h", "digest").distinct()
+    ddl = "k {}, row bigint, place bigint, unspaced boolean, h bigint, digest binary, start_char bigint, end_char bigint"
+    a = corpus.withColumns({"l": F.lit(None).cast("string"), "r": F.xxhash64("t")}).mapInPandas(emit(True), ddl.format(keys["key"]))
+    b = held.withColumn("r", F.lit(0).cast("bigint")).mapInPandas(emit(False), ddl.format(keys["item"])).select(F.col("k").alias("item"), "unspaced", "h", "digest").distinct()
     on = ["unspaced", "h", "digest"]
-    hits = a.join(b, on).select(F.col("k").alias("doc"), "item", "start_char", "end_char")
-    return hits.groupBy("doc", "item").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
+    #: runs of windows that touch are one span, as in ItemIndex.search
+    own = ["doc", "row", "item", "unspaced"]
+    w = Window.partitionBy(*own).orderBy("place")
+    hits = a.withColumnRenamed("k", "doc").join(b, on).select(*own, "place", "start_char", "end_char").distinct()
+    far = F.col("place") > F.lag("place").over(w) + F.when(F.col("unspaced"), letters).otherwise(words)
+    runs = hits.withColumn("far", F.coalesce(far.cast("int"), F.lit(0))).withColumn("run", F.sum("far").over(w))
+    return runs.groupBy(*own, "run").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")).select("doc", "item", "start_char", "end_char")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", **options) -> DataFrame:

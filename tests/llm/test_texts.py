@@ -236,3 +236,17 @@ def test_clean_mentions_and_contexts(spark):
     spans = QUERIES["p3_context"](spark, SF)
     assert spans.columns == ["sample_id", "start_char", "end_char"]
     assert spans.select("sample_id").distinct().count() == samples.where("trim(context) <> ''").select("sample_id").distinct().count()
+
+
+def test_spans_are_the_same_on_both_paths(spark):
+    item = " ".join(f"alpha{i}" for i in range(60))
+    far = " ".join(item.split()[:15]) + " own words between " + " ".join(f"beta{i}" for i in range(50)) + " " + " ".join(item.split()[-15:])
+    hanzi = "".join(chr(0x4E00 + 7 * i) for i in range(80))
+    rows = [(1, far, None), (2, "x " + item + " y", None), (3, far, None), (3, far, None), (3, "z " + item, None), (4, hanzi[:30] + "".join(chr(0x6E00 + i) for i in range(60)) + hanzi[-30:], None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(7, item, "en"), (8, hanzi, "zh")], "item_id long, text string, lang string")
+    spans = [sorted(set(map(tuple, leaks.leaked_spans(docs, items, most_windows=n).collect()))) for n in (5_000_000, 0)]
+    assert spans[0] == spans[1] and len([s for s in spans[1] if s[0] == 1]) == 2 and {s[0] for s in spans[1]} == {1, 2, 3, 4}
+    one = docs.where("doc_id in (1, 2, 4)")
+    clean = [{r.doc_id: r.clean_text for r in leaks.remove_leaks(one, items, most_windows=n).collect()} for n in (5_000_000, 0)]
+    assert clean[0] == clean[1] and "beta49" in clean[1][1]
