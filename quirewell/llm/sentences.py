@@ -173,6 +173,10 @@ def _lists() -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray,
     return by_language(TITLES), by_language(UNITS), _word_hashes(fold.skeleton(BEFORE_NUMBER)), _word_hashes(fold.skeleton(MONTHS))
 
 
+#: A text without language is judged by stretches of so many characters.
+STRETCH = 4000
+
+
 @functools.cache
 def _lower() -> np.ndarray:
     out = np.arange(fold.N, dtype=np.uint32)
@@ -182,6 +186,12 @@ def _lower() -> np.ndarray:
     return out
 
 
+def _guess(text: str) -> str:
+    """The language of a stretch of text without one: German by its commonest words, else any."""
+    t = f" {text.lower()} "
+    return "de" if t.count(" der ") + t.count(" die ") + t.count(" und ") >= 2 else "?"
+
+
 def split(texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the text, start, end) of every sentence of the texts."""
     sep = "\x00"
@@ -205,10 +215,13 @@ def split(texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, np.nda
     letters = np.bincount(doc, np.isin(kind, LETTERS), minlength=len(texts) + 1)
     names = [(x or "").strip().lower()[:2] for x in langs] + [""]
     lang = np.array([w if w in TITLES or w in UNITS else "" for w in names], dtype=object)
+    guessed: dict[int, np.ndarray] = {}  # of long texts, by stretch
     for i, w in enumerate(names[:-1]):
         if not w:
-            t = f" {texts[i][:4000].lower()} "
-            lang[i] = "de" if t.count(" der ") + t.count(" die ") + t.count(" und ") >= 2 else "?"
+            stretches = [_guess(texts[i][max(0, a - STRETCH // 2) : a + STRETCH * 3 // 2] if a else texts[i][:STRETCH]) for a in range(0, max(len(texts[i]), 1), STRETCH)]
+            lang[i] = stretches[0]
+            if len(set(stretches)) > 1:
+                guessed[i] = np.array(stretches, dtype=object)
     is_thai = ((thai * 2 > letters) & (letters > 0))[doc]
     is_greek = ((greek * 2 > letters) & (letters > 0))[doc]
 
@@ -253,6 +266,9 @@ def split(texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, np.nda
     title, unit = np.zeros(len(pos), bool), np.zeros(len(pos), bool)
     titles, units, numbers, months = _lists()
     codes_ = lang[doc[pos]]
+    for i, stretches in guessed.items():
+        m = np.flatnonzero(doc[pos] == i)
+        codes_[m] = stretches[(keep[pos[m]] - ends_at[i] - 1) // STRETCH]
     for name in set(codes_):
         m = codes_ == name
         title[m] = np.isin(h[m], titles.get(name, titles[""]))

@@ -76,3 +76,17 @@ def test_long_text_and_odd_rows(spark):
     got = S.sentences(df, "doc_id", "text", "lang").groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {4: 200_002}
     assert S.sentences(df.where("false"), "doc_id", "text", "lang").count() == 0
+
+
+def test_language_is_guessed_in_every_stretch():
+    from quirewell.llm.sentences import split
+
+    english = "The mayor of the town has read the long letter to the people. " * 100
+    german = "Der Bürgermeister und die Räte der Stadt und die Bürger. Sie kamen am 3. Januar und am 14. Infanterie an. " * 60
+    own = [german[a:b] for _, a, b in zip(*split([german], [None]))]
+    for text, at in ((english + german, len(english)), (german, 0)):
+        got = [text[a:b] for _, a, b in zip(*split(["One. Two.", text], ["en", None])) if _ == 1 and a >= at]
+        assert got == own and not any(x.startswith("Infanterie") for x in got)
+    dated = "He was 25. Then he left. "
+    text = dated * 300 + german
+    assert [text[a:b] for _, a, b in zip(*split([text], [None]))][:4] == ["He was 25.", "Then he left."] * 2
