@@ -104,27 +104,26 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(groups, "document_id", {"train": 0.7, "val": 0.15, "test": 0.15})
 
 
-def article_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, x, h, split: the latest delivery of every article that has a split."""
     split = F.lower(F.trim("split"))
     by_document = table(spark, sf_dir, "split_ids").groupBy("document_id").agg(F.min(split).alias("split"))
     articles = table(spark, sf_dir, "articles").select("document_id", F.col("text").alias("x"), F.col("media.publication_title").alias("h"), "loaded_at")
     latest = articles.groupBy(F.col("document_id")).agg(F.max_by(F.struct("x", "h"), F.struct(F.col("loaded_at"), F.col("x"))).alias("r"))
-    records = latest.join(by_document, "document_id").select(F.col("document_id").alias("k"), "r.x", "r.h", "split")
-    return overlap.overlaps(records, scans.continuous_words)
+    return latest.join(by_document, "document_id").select(F.col("document_id").alias("k"), "r.x", "r.h", "split")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of articles, one in train and the other in val or test, that are the same or nearly."""
-    pairs = article_overlaps(spark, sf_dir)
+    pairs = overlap.overlaps(split_articles(spark, sf_dir), scans.continuous_words)
     return pairs.select(F.least("eval_key", "train_key").alias("document_id_a"), F.greatest("eval_key", "train_key").alias("document_id_b")).distinct()
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps by evaluation split and source of the evaluation article."""
     source = F.lower(F.regexp_replace("source", r"^\s+|\s+$", ""))
-    sources = table(spark, sf_dir, "articles").groupBy(F.col("document_id").alias("eval_key")).agg(F.min(source).alias("source"))
-    counts = [F.count("*").alias("n_pairs"), F.count_if("exact").alias("n_exact"), F.count_distinct("eval_key").alias("n_articles")]
-    return article_overlaps(spark, sf_dir).join(sources, "eval_key").groupBy(F.col("eval_split").alias("split"), "source").agg(*counts)
+    sources = table(spark, sf_dir, "articles").groupBy(F.col("document_id").alias("k")).agg(F.min(source).alias("source"))
+    return overlap.report(split_articles(spark, sf_dir), scans.continuous_words, sources).withColumnRenamed("n_records", "n_articles")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
