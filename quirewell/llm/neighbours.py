@@ -3,8 +3,9 @@
 1. Vectors that can't be compared (null, wrong length, all zero, not finite)
    take no part. Identical vectors become one, so copies never crowd a graph.
 2. A bounded sample (``most_fit`` vectors, by hash) yields centroids; every
-   vector goes to the shard of its nearest one. Shards above ``most_shard``
-   are cut by hash, so that no task holds more.
+   vector goes to the cell of its nearest one. A cell above ``most_shard`` is
+   divided once more, by centroids fitted to a sample of its own (``Cells``).
+   The final cells are the shards: some ``shard`` vectors each.
 3. Each shard builds its graph: points are inserted in growing batches, a
    greedy beam search over the graph so far proposes neighbours, relaxed
    distance pruning keeps diverse edges, and reverse edges are pruned alike.
@@ -55,7 +56,7 @@ def beam(x: np.ndarray, edges: np.ndarray, q: np.ndarray, starts: np.ndarray, wi
     points, until none of its ``width`` best is unexpanded.
     """
     n, b = len(x), len(q)
-    seen = np.zeros((b, n), dtype=bool)
+    seen = np.full(b * n, -1, np.int32)  # the place in its round at which a query met a point
     rows = np.repeat(np.arange(b), starts.shape[1])
     flat = starts.ravel()
     ids = np.full((b, width), -1, np.int32)
@@ -68,12 +69,15 @@ def beam(x: np.ndarray, edges: np.ndarray, q: np.ndarray, starts: np.ndarray, wi
         ok = cand >= 0
         crow, cand = crow[ok], cand[ok]
         key = active[crow].astype(np.int64) * n + cand
-        new = ~seen.ravel()[key]
+        new = seen[key] < 0
         crow, cand, key = crow[new], cand[new], key[new]
-        key, first = np.unique(key, return_index=True)
-        crow, cand = crow[first], cand[first]
-        seen.ravel()[key] = True
+        place = np.arange(len(key), dtype=np.int32)
+        seen[key] = place
+        once = seen[key] == place  # a point met twice in a round counts where it was written last
+        crow, cand = crow[once], cand[once]
         s = np.einsum("ij,ij->i", x[cand], q[active[crow]])
+        better = s > sims[active].min(axis=1)[crow]  # others can't enter their row's list
+        crow, cand, s = crow[better], cand[better], s[better]
         count = np.bincount(crow, minlength=len(active))
         wide = int(count.max(initial=0))
         if wide:
@@ -153,7 +157,7 @@ class Graph:
             self.edges[head] = prune(x, head, head[near], np.take_along_axis(s, near, 1), degree, alpha)
         self.pivots = head
         while done < n:
-            block = order[done : done + min(batch, done)]
+            block = order[done : done + min(batch, done, max(16, 16_000_000 // n))]
             found, sims = beam(x, self.edges, x[block], self.entry(x[block]), width)
             mates, mate_sims = self._mates(block)
             self.edges[block] = prune(x, block, np.concatenate([found, mates], axis=1), np.concatenate([sims, mate_sims], axis=1), degree, alpha)
@@ -192,16 +196,18 @@ class Graph:
         for i in np.flatnonzero(room).tolist():
             self.edges[points[i], held[i] : held[i] + count[i]] = extra[i, : count[i]]
         full = np.flatnonzero(~room)
-        for a in range(0, len(full), 2048):
-            some = full[a : a + 2048]
-            cand = np.concatenate([self.edges[points[some]], extra[some]], axis=1)
+        full = full[np.argsort(count[full], kind="stable")]  # points with about as many new edges go together: little padding
+        for a in range(0, len(full), 512):
+            some = full[a : a + 512]
+            cand = np.concatenate([self.edges[points[some]], extra[some, : count[some[-1]]]], axis=1)
             cand.sort(axis=1)
             sims = np.einsum("ijk,ik->ij", self.x[np.maximum(cand, 0)], self.x[points[some]])
             sims[cand < 0] = -9.0
             self.edges[points[some]] = prune(self.x, points[some], cand, sims, self.degree, alpha)
 
-    def query(self, q: np.ndarray, starts: np.ndarray | None = None, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    def query(self, q: np.ndarray, starts: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
         parts = []
+        block = max(16, min(block, 16_000_000 // max(len(self.x), 1)))  # what a block has seen takes four bytes a point
         for a in range(0, len(q), block):
             s = self.entry(q[a : a + block])
             if starts is not None:
@@ -233,6 +239,104 @@ def copies(vectors: DataFrame) -> DataFrame:
     return slim.join(several, ["h1", "h2"]).select("id", "rep")
 
 
+def _sample(vectors: DataFrame, n: int, most: int) -> np.ndarray:
+    """At most ``most`` of the ``n`` vectors, by hash; those above the expected share never leave their executors."""
+    share = min(1.0, 1.1 * most / n + 50 / n)
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    rows = vectors.where(h < int(share * (1 << 40))).select(h.alias("h"), "id", "v").collect()
+    return np.array([r.v for r in sorted(rows, key=lambda r: (r.h, r.id))[:most]], dtype=np.float32)
+
+
+def near_cells(v: np.ndarray, cells: np.ndarray, limit: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the cells within ``limit`` of each unit vector: the distance to the border with its nearest cell (or ``home``)."""
+    s = v @ cells.T
+    mine = np.argmax(s, axis=1) if home is None else home
+    apart = np.sqrt(np.maximum(2 - 2 * cells @ cells.T, 1e-9))
+    margin = (s[np.arange(len(v)), mine][:, None] - s) / apart[mine]
+    near = margin <= limit[:, None]
+    near[np.arange(len(v)), mine] = True
+    return np.nonzero(near)
+
+
+class Cells:
+    """Cells of two levels: centroids of the first, held by every task; those of the second within each large cell.
+
+    The first level has at most ``most_fit / 8`` centroids (a bound of a few MB,
+    whatever the number of vectors). A cell above ``most_shard`` is divided by
+    centroids fitted to a sample of its own; these are one packed row per large
+    cell, which vectors meet by a cogroup, so they never reach the driver.
+    """
+
+    def __init__(self, points: DataFrame, n: int, dim: int, most_fit: int, shard: int, most_shard: int):
+        spark, self.dim = points.sparkSession, dim
+        sample = _sample(points, n, most_fit)
+        self.shared = shared = spark.sparkContext.broadcast(fit_centroids(unit(np.unique(sample, axis=0)), max(1, min(-(-n // shard), len(sample) // 8 or 1))))
+
+        @F.pandas_udf("int")
+        def home(v: pd.Series) -> pd.Series:
+            return pd.Series(np.argmax(unit(np.stack(v)) @ shared.value.T, axis=1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
+
+        self.homed = points.withColumn("cell", home("v"))
+        sizes = {r[0]: r[1] for r in self.homed.groupBy("cell").count().collect()}  # one row per centroid
+        self.large = {cell: m for cell, m in sizes.items() if m > most_shard}
+        if not self.large:
+            return
+        rows = [(cell, -(-m // shard), int(min(1.0, 1.1 * most_fit / m) * (1 << 40)), -(-m // (25 * shard))) for cell, m in sorted(self.large.items())]
+        self.plan = F.broadcast(spark.createDataFrame(rows, "cell int, wanted int, below bigint, slices int"))
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = unit(np.unique(np.stack(pdf.sort_values("id")["v"]), axis=0))
+            c = fit_centroids(x, max(1, min(int(pdf["wanted"].iloc[0]), len(x) // 8)))
+            return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "centroids": [c.tobytes()]})
+
+        some = self.homed.join(self.plan, "cell").where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.col("below")).select("cell", "id", "v", "wanted")
+        self.second = cut(some.groupBy("cell").applyInPandas(fit, "cell int, centroids binary"))
+
+    def pieces(self, rows: DataFrame, limited: bool) -> DataFrame:
+        """id, v, cell, piece of rows in large cells: the piece of each vector, or all within its ``limit`` if ``limited``."""
+        dim = self.dim
+
+        def work(own: pd.DataFrame, centroids: pd.DataFrame) -> pd.DataFrame:
+            if not len(own):
+                return pd.DataFrame({"id": np.zeros(0, np.int64), "v": [], "cell": np.zeros(0, np.int32), "piece": np.zeros(0, np.int32)})
+            c = np.frombuffer(centroids["centroids"].iloc[0], np.float32).reshape(-1, dim)
+            v = unit(np.stack(own["v"]))
+            r, piece = near_cells(v, c, own["limit"].to_numpy()) if limited else (np.arange(len(v)), np.argmax(v @ c.T, axis=1))
+            return pd.DataFrame({"id": own["id"].to_numpy()[r], "v": own["v"].to_numpy()[r], "cell": own["cell"].to_numpy()[r], "piece": piece.astype(np.int32)})
+
+        slices = self.plan
+        sliced = rows.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), "slices"))
+        held = self.second.join(slices, "cell").select("cell", "centroids", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices").cast("bigint") - 1)).alias("slice"))
+        cols = ["id", "v", "cell", "slice", *(["limit"] if limited else [])]
+        return sliced.select(cols).groupBy("cell", "slice").cogroup(held.groupBy("cell", "slice")).applyInPandas(work, "id bigint, v array<float>, cell int, piece int")
+
+    def placed(self) -> DataFrame:
+        """id, v, cell, piece of every vector."""
+        small = self.homed.where(~F.col("cell").isin(sorted(self.large))) if self.large else self.homed
+        small = small.withColumn("piece", F.lit(0))
+        return small.unionByName(self.pieces(self.homed.where(F.col("cell").isin(sorted(self.large))), False)) if self.large else small
+
+    def guests(self, rows: DataFrame) -> DataFrame:
+        """id, v, cell, piece of each vector of ``rows`` (id, v, cell, piece, limit) in the other shards within its ``limit``."""
+        shared, large = self.shared, frozenset(self.large)
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    mine, limit = b["cell"].to_numpy(), b["limit"].to_numpy()
+                    r, cell = near_cells(unit(np.stack(b["v"])), shared.value, limit, mine)
+                    go = (cell != mine[r]) | np.isin(cell, list(large))
+                    r, cell = r[go], cell[go].astype(np.int32)
+                    yield pd.DataFrame({"id": b["id"].to_numpy()[r], "v": b["v"].to_numpy()[r], "cell": cell, "limit": limit[r], "home": mine[r], "piece": b["piece"].to_numpy()[r]})
+
+        routed = rows.mapInPandas(route, "id bigint, v array<float>, cell int, limit double, home int, piece int")
+        if not large:
+            return routed.select("id", "v", "cell", F.lit(0).alias("piece"))
+        inside = F.col("cell").isin(sorted(large))
+        own = rows.where(inside).select("id", "cell", "piece")
+        return routed.where(~inside).select("id", "v", "cell", F.lit(0).alias("piece")).unionByName(self.pieces(routed.where(inside), True).join(own.hint("merge"), ["id", "cell", "piece"], "left_anti").select("id", "v", "cell", "piece"))
+
+
 def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, most_fit: int = 20_000, shard: int = 4_000, most_shard: int = 8_000, reach: float = 1.5, degree: int = 20, width: int = 24) -> DataFrame:
     """id, other, cosine: for every vector its k most similar others, as far as their cosine is at least ``least``."""
     vectors = usable(df, key, vector, dim)
@@ -240,64 +344,28 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least
     if n == 0:
         return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"))
     again = cut(copies(vectors))
-    points = vectors.join(again.where("id <> rep").select("id"), "id", "left_anti")
-    sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(most_fit).select("v").collect()], dtype=np.float32)
-    c = fit_centroids(unit(np.unique(sample, axis=0)), max(1, min(-(-n // shard), len(sample) // 8 or 1)))
-    shared = df.sparkSession.sparkContext.broadcast(c)
-
-    def cells_of(v: np.ndarray) -> np.ndarray:
-        return np.argmax(unit(v) @ shared.value.T, axis=1).astype(np.int32)
-
-    @F.pandas_udf("int")
-    def home(v: pd.Series) -> pd.Series:
-        return pd.Series(cells_of(np.stack(v)) if len(v) else np.zeros(0, np.int32))
-
-    homed = points.withColumn("cell", home("v"))
-    sizes = {r[0]: r[1] for r in homed.groupBy("cell").count().collect()}  # one row per centroid
-    pieces = {cell: -(-m // most_shard) for cell, m in sizes.items()}
-    split = F.coalesce(*[F.when(F.col("cell") == cell, F.pmod(F.xxhash64("id"), F.lit(p))) for cell, p in pieces.items() if p > 1], F.lit(0)).cast("int")
+    cells = Cells(vectors.join(again.where("id <> rep").select("id"), "id", "left_anti"), n, dim, most_fit, shard, most_shard)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         ids, raw = pdf["id"].to_numpy(), np.stack(pdf["v"])
         graph = Graph(unit(raw), degree, width)
         found, sims = graph.query(graph.x, np.arange(len(ids)))
-        kept = (found >= 0) & (found != np.arange(len(ids))[:, None]) & (sims >= least - 1e-4)
-        r, col = np.nonzero(kept)
+        r, col = np.nonzero((found >= 0) & (found != np.arange(len(ids))[:, None]) & (sims >= least - 1e-4))
         cosine = _exact(raw[r], raw[found[r, col]])
-        hits: list = [[] for _ in range(len(ids))]
-        for i, j, s in zip(r.tolist(), found[r, col].tolist(), cosine.tolist()):
-            if s >= least:
-                hits[i].append((int(ids[j]), s))
+        ok = cosine >= least
+        r, other, cosine = r[ok], ids[found[r, col]][ok], cosine[ok]
+        ends = np.searchsorted(r, np.arange(len(ids) + 1))
+        kth = np.array([np.partition(cosine[a:b], -k)[-k] if b - a >= k else least for a, b in zip(ends[:-1], ends[1:])])
         return pd.DataFrame({
             "id": ids, "v": pdf["v"], "cell": pdf["cell"], "piece": pdf["piece"], "node": np.arange(len(ids), dtype=np.int32), "edges": [e.tobytes() for e in graph.edges.astype(np.int16 if len(ids) < 32_000 else np.int32)],
-            "others": [[h[0] for h in x] for x in hits], "cosines": [[h[1] for h in x] for x in hits],
+            "limit": reach * np.sqrt(np.maximum(2 - 2 * kth, 0)) / np.sqrt(dim), "others": np.split(other, ends[1:-1]), "cosines": np.split(cosine, ends[1:-1]),
         })
 
-    ddl = "id bigint, v array<float>, cell int, piece int, node int, edges binary, others array<bigint>, cosines array<double>"
-    index = cut(homed.withColumn("piece", split).groupBy("cell", "piece").applyInPandas(build, ddl))
+    ddl = "id bigint, v array<float>, cell int, piece int, node int, edges binary, limit double, others array<bigint>, cosines array<double>"
+    index = cut(cells.placed().groupBy("cell", "piece").applyInPandas(build, ddl))
     own = index.select("id", F.explode(F.arrays_zip("others", "cosines")).alias("h")).select("id", F.col("h.others").alias("other"), F.col("h.cosines").alias("cosine"))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = shared.value
-        apart = np.sqrt(np.maximum(2 - 2 * cells @ cells.T, 1e-9))
-        for b in batches:
-            if not len(b):
-                continue
-            s = unit(np.stack(b["v"])) @ cells.T
-            mine = b["cell"].to_numpy()
-            kth = np.array([sorted(x)[-k] if len(x) >= k else least for x in b["cosines"]], dtype=np.float64)
-            limit = reach * np.sqrt(np.maximum(2 - 2 * kth, 0)) / np.sqrt(dim)
-            margin = (s[np.arange(len(b)), mine][:, None] - s) / apart[mine]
-            near = margin <= limit[:, None]
-            near[np.arange(len(b)), mine] = [pieces[m] > 1 for m in mine.tolist()]
-            r, cell = np.nonzero(near)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[r], "v": b["v"].to_numpy()[r], "cell": cell.astype(np.int32), "home": mine[r], "piece": b["piece"].to_numpy()[r]})
-
-    routed = index.select("id", "v", "cell", "piece", "cosines").mapInPandas(route, "id bigint, v array<float>, cell int, home int, piece int")
-    counts = F.coalesce(*[F.when(F.col("cell") == cell, F.lit(p)) for cell, p in pieces.items() if p > 1], F.lit(1))
-    guests = routed.withColumn("at", F.explode(F.sequence(F.lit(0), counts - 1))).where((F.col("cell") != F.col("home")) | (F.col("at") != F.col("piece")))
-    guests = guests.select("id", "v", "cell", F.col("at").cast("int").alias("piece"))
+    guests = cells.guests(index.select("id", "v", "cell", "piece", "limit"))
 
     def visit(nodes: pd.DataFrame, guests_: pd.DataFrame) -> pd.DataFrame:
         if not len(nodes) or not len(guests_):

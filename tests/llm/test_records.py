@@ -29,9 +29,15 @@ def test_neighbours_against_brute_force(spark):
     near = base[rng.integers(0, 150, 450)] + rng.normal(scale=0.08, size=(450, 16))
     x = np.concatenate([base, near]).astype(np.float32)
     df = vectors(spark, [(int(i), v.tolist()) for i, v in enumerate(x)])
-    got = {(r.id, r.other) for r in N.neighbours(df, "vec_id", "emb", 16, shard=150, most_shard=120).collect()}
     want = brute(x.astype(float), list(range(len(x))), 5, 0.9)
-    assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
+    for options in ({"shard": 150, "most_shard": 120}, {"shard": 60, "most_shard": 60, "most_fit": 40}):  # the second divides cells once more
+        got = {(r.id, r.other) for r in N.neighbours(df, "vec_id", "emb", 16, **options).collect()}
+        assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
+
+
+def test_samples_are_bounded(spark):
+    df = spark.range(5000).selectExpr("id", "array(float(id), float(1)) as v")
+    assert len(N._sample(df, 5000, 100)) <= 100 and len(N._sample(df, 5000, 9000)) == 5000
 
 
 def test_copies_ties_and_bad_vectors(spark):
