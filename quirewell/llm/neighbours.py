@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import cut
+from ..session import cut, kept
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -222,10 +222,20 @@ def _exact(raw_q: np.ndarray, raw_y: np.ndarray) -> np.ndarray:
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """id, v: the vectors that can be compared."""
+    """id, v (packed 32-bit floats): the vectors that can be compared."""
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.select(F.col(key).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & ~bad & F.exists("v", lambda x: x != 0))
+    rows = df.select(F.col(key).alias("id"), v.cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & ~bad & F.exists("v", lambda x: x != 0))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "v": [x.astype(np.float32).tobytes() for x in b["v"]]})
+
+    return rows.mapInPandas(pack, "id bigint, v binary")
+
+
+def unpacked(v: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(v), np.float32).reshape(-1, dim)
 
 
 def copies(vectors: DataFrame) -> DataFrame:
@@ -239,12 +249,12 @@ def copies(vectors: DataFrame) -> DataFrame:
     return slim.join(several, ["h1", "h2"]).select("id", "rep")
 
 
-def _sample(vectors: DataFrame, n: int, most: int) -> np.ndarray:
+def _sample(vectors: DataFrame, n: int, most: int, dim: int) -> np.ndarray:
     """At most ``most`` of the ``n`` vectors, by hash; those above the expected share never leave their executors."""
     share = min(1.0, 1.1 * most / n + 50 / n)
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     rows = vectors.where(h < int(share * (1 << 40))).select(h.alias("h"), "id", "v").collect()
-    return np.array([r.v for r in sorted(rows, key=lambda r: (r.h, r.id))[:most]], dtype=np.float32)
+    return unpacked([r.v for r in sorted(rows, key=lambda r: (r.h, r.id))[:most]], dim)
 
 
 def near_cells(v: np.ndarray, cells: np.ndarray, limit: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -269,12 +279,12 @@ class Cells:
 
     def __init__(self, points: DataFrame, n: int, dim: int, most_fit: int, shard: int, most_shard: int):
         spark, self.dim = points.sparkSession, dim
-        sample = _sample(points, n, most_fit)
+        sample = _sample(points, n, most_fit, dim)
         self.shared = shared = spark.sparkContext.broadcast(fit_centroids(unit(np.unique(sample, axis=0)), max(1, min(-(-n // shard), len(sample) // 8 or 1))))
 
         @F.pandas_udf("int")
         def home(v: pd.Series) -> pd.Series:
-            return pd.Series(np.argmax(unit(np.stack(v)) @ shared.value.T, axis=1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
+            return pd.Series(np.argmax(unit(unpacked(v, dim)) @ shared.value.T, axis=1).astype(np.int32))
 
         self.homed = points.withColumn("cell", home("v"))
         sizes = {r[0]: r[1] for r in self.homed.groupBy("cell").count().collect()}  # one row per centroid
@@ -285,7 +295,7 @@ class Cells:
         self.plan = F.broadcast(spark.createDataFrame(rows, "cell int, wanted int, below bigint, slices int"))
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = unit(np.unique(np.stack(pdf.sort_values("id")["v"]), axis=0))
+            x = unit(np.unique(unpacked(pdf.sort_values("id")["v"], dim), axis=0))
             c = fit_centroids(x, max(1, min(int(pdf["wanted"].iloc[0]), len(x) // 8)))
             return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "centroids": [c.tobytes()]})
 
@@ -300,7 +310,7 @@ class Cells:
             if not len(own):
                 return pd.DataFrame({"id": np.zeros(0, np.int64), "v": [], "cell": np.zeros(0, np.int32), "piece": np.zeros(0, np.int32)})
             c = np.frombuffer(centroids["centroids"].iloc[0], np.float32).reshape(-1, dim)
-            v = unit(np.stack(own["v"]))
+            v = unit(unpacked(own["v"], dim))
             r, piece = near_cells(v, c, own["limit"].to_numpy()) if limited else (np.arange(len(v)), np.argmax(v @ c.T, axis=1))
             return pd.DataFrame({"id": own["id"].to_numpy()[r], "v": own["v"].to_numpy()[r], "cell": own["cell"].to_numpy()[r], "piece": piece.astype(np.int32)})
 
@@ -308,7 +318,7 @@ class Cells:
         sliced = rows.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), "slices"))
         held = self.second.join(slices, "cell").select("cell", "centroids", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices").cast("bigint") - 1)).alias("slice"))
         cols = ["id", "v", "cell", "slice", *(["limit"] if limited else [])]
-        return sliced.select(cols).groupBy("cell", "slice").cogroup(held.groupBy("cell", "slice")).applyInPandas(work, "id bigint, v array<float>, cell int, piece int")
+        return sliced.select(cols).groupBy("cell", "slice").cogroup(held.groupBy("cell", "slice")).applyInPandas(work, "id bigint, v binary, cell int, piece int")
 
     def placed(self) -> DataFrame:
         """id, v, cell, piece of every vector."""
@@ -318,18 +328,18 @@ class Cells:
 
     def guests(self, rows: DataFrame) -> DataFrame:
         """id, v, cell, piece of each vector of ``rows`` (id, v, cell, piece, limit) in the other shards within its ``limit``."""
-        shared, large = self.shared, frozenset(self.large)
+        shared, large, dim = self.shared, frozenset(self.large), self.dim
 
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
                     mine, limit = b["cell"].to_numpy(), b["limit"].to_numpy()
-                    r, cell = near_cells(unit(np.stack(b["v"])), shared.value, limit, mine)
+                    r, cell = near_cells(unit(unpacked(b["v"], dim)), shared.value, limit, mine)
                     go = (cell != mine[r]) | np.isin(cell, list(large))
                     r, cell = r[go], cell[go].astype(np.int32)
                     yield pd.DataFrame({"id": b["id"].to_numpy()[r], "v": b["v"].to_numpy()[r], "cell": cell, "limit": limit[r], "home": mine[r], "piece": b["piece"].to_numpy()[r]})
 
-        routed = rows.mapInPandas(route, "id bigint, v array<float>, cell int, limit double, home int, piece int")
+        routed = rows.mapInPandas(route, "id bigint, v binary, cell int, limit double, home int, piece int")
         if not large:
             return routed.select("id", "v", "cell", F.lit(0).alias("piece"))
         inside = F.col("cell").isin(sorted(large))
@@ -337,18 +347,20 @@ class Cells:
         return routed.where(~inside).select("id", "v", "cell", F.lit(0).alias("piece")).unionByName(self.pieces(routed.where(inside), True).join(own.hint("merge"), ["id", "cell", "piece"], "left_anti").select("id", "v", "cell", "piece"))
 
 
-def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, most_fit: int = 20_000, shard: int = 4_000, most_shard: int = 8_000, reach: float = 1.5, degree: int = 20, width: int = 24) -> DataFrame:
+def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9, most_fit: int = 20_000, shard: int = 4_000, most_shard: int = 8_000, reach: float = 1.5, degree: int = 20, width: int = 24, most_broadcast: int = 1_000_000) -> DataFrame:
     """id, other, cosine: for every vector its k most similar others, as far as their cosine is at least ``least``."""
-    vectors = usable(df, key, vector, dim)
+    vectors = kept(usable(df, key, vector, dim))
     n = vectors.count()
     if n == 0:
         return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"))
     again = cut(copies(vectors))
-    cells = Cells(vectors.join(again.where("id <> rep").select("id"), "id", "left_anti"), n, dim, most_fit, shard, most_shard)
+    later = again.where("id <> rep").select("id")
+    later = F.broadcast(later) if later.count() <= most_broadcast else later.hint("merge")
+    cells = Cells(vectors.join(later, "id", "left_anti"), n, dim, most_fit, shard, most_shard)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
-        ids, raw = pdf["id"].to_numpy(), np.stack(pdf["v"])
+        ids, raw = pdf["id"].to_numpy(), unpacked(pdf["v"], dim)
         graph = Graph(unit(raw), degree, width)
         found, sims = graph.query(graph.x, np.arange(len(ids)))
         r, col = np.nonzero((found >= 0) & (found != np.arange(len(ids))[:, None]) & (sims >= least - 1e-4))
@@ -362,8 +374,8 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least
             "limit": reach * np.sqrt(np.maximum(2 - 2 * kth, 0)) / np.sqrt(dim), "others": np.split(other, ends[1:-1]), "cosines": np.split(cosine, ends[1:-1]),
         })
 
-    ddl = "id bigint, v array<float>, cell int, piece int, node int, edges binary, limit double, others array<bigint>, cosines array<double>"
-    index = cut(cells.placed().groupBy("cell", "piece").applyInPandas(build, ddl))
+    ddl = "id bigint, v binary, cell int, piece int, node int, edges binary, limit double, others array<bigint>, cosines array<double>"
+    index = kept(cells.placed().groupBy("cell", "piece").applyInPandas(build, ddl))
     own = index.select("id", F.explode(F.arrays_zip("others", "cosines")).alias("h")).select("id", F.col("h.others").alias("other"), F.col("h.cosines").alias("cosine"))
     guests = cells.guests(index.select("id", "v", "cell", "piece", "limit"))
 
@@ -371,12 +383,12 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least
         if not len(nodes) or not len(guests_):
             return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "cosine": np.zeros(0)})
         nodes = nodes.sort_values("node", ignore_index=True)
-        ids, raw = nodes["id"].to_numpy(), np.stack(nodes["v"])
+        ids, raw = nodes["id"].to_numpy(), unpacked(nodes["v"], dim)
         graph = Graph.__new__(Graph)
         packed = np.frombuffer(b"".join(nodes["edges"]), np.int16 if len(ids) < 32_000 else np.int32)
         graph.x, graph.edges, graph.degree, graph.width = unit(raw), packed.reshape(len(ids), degree).astype(np.int32), degree, width
         graph.pivots = np.random.default_rng(7).permutation(len(ids))[: max(128, int(2 * np.sqrt(len(ids))))]
-        q = np.stack(guests_["v"])
+        q = unpacked(guests_["v"], dim)
         found, sims = graph.query(unit(q))
         r, col = np.nonzero((found >= 0) & (sims >= least - 1e-4))
         cosine = _exact(q[r], raw[found[r, col]])

@@ -36,8 +36,8 @@ def test_neighbours_against_brute_force(spark):
 
 
 def test_samples_are_bounded(spark):
-    df = spark.range(5000).selectExpr("id", "array(float(id), float(1)) as v")
-    assert len(N._sample(df, 5000, 100)) <= 100 and len(N._sample(df, 5000, 9000)) == 5000
+    df = N.usable(spark.range(5000).selectExpr("id", "array(float(id), float(1)) as e"), "id", "e", 2)
+    assert len(N._sample(df, 5000, 100, 2)) <= 100 and len(N._sample(df, 5000, 9000, 2)) == 5000
 
 
 def test_copies_ties_and_bad_vectors(spark):
