@@ -49,41 +49,39 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with their title and the names they list, ready for the operators on scans."""
-    names = F.flatten(F.transform("sampled_pairs", lambda p: F.concat(F.coalesce(p["pers_mentions_list"], F.array().cast("array<string>")), F.coalesce(p["loc_mentions_list"], F.array().cast("array<string>")))))
-    pairs = F.filter("sampled_pairs", lambda p: p.isNotNull())
-    df = table(spark, sf_dir, "articles").withColumn("sampled_pairs", F.coalesce(pairs, F.array().cast(table(spark, sf_dir, "articles").schema["sampled_pairs"].dataType)))
-    return df.select("document_id", "text", "language", F.col("media.publication_title").alias("title"), names.alias("names"))
+    """Articles with their title and their lists of mentions, ready for the operators on scans."""
+    lists = F.flatten(F.transform(F.filter("sampled_pairs", lambda p: p.isNotNull()), lambda p: F.array(p["pers_mentions_list"], p["loc_mentions_list"])))
+    return table(spark, sf_dir, "articles").select("document_id", "text", "language", F.col("media.publication_title").alias("title"), lists.alias("names"))
 
 
-def article_editor(spark: SparkSession, sf_dir: str) -> scans.Editor:
+def article_corpus(spark: SparkSession, sf_dir: str) -> scans.Corpus:
     return scans.train(scanned_articles(spark, sf_dir), "text", "language", "title", "names")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of page layout and scanning in articles.text and in the persons' mentions."""
-    editor = article_editor(spark, sf_dir)
-    a = scans.defects(scanned_articles(spark, sf_dir), "document_id", "text", "language", "title", editor)
-    m = scans.mention_defects(table(spark, sf_dir, "relation_instance"), "sample_id", "pers_mentions_list", "language", editor)
+    corpus = article_corpus(spark, sf_dir)
+    a = scans.defects(scanned_articles(spark, sf_dir), "document_id", "text", "language", "title", corpus)
+    m = scans.mention_defects(table(spark, sf_dir, "relation_instance"), "sample_id", "pers_mentions_list", corpus)
     cols = ["table_name", "record_key", "pos", "defect"]
     return a.withColumn("table_name", F.lit("articles")).select(cols).union(m.withColumn("table_name", F.lit("relation_instance")).select(cols)).distinct()
 
 
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """articles.text as continuous readable paragraphs."""
-    return scans.repaired(scanned_articles(spark, sf_dir), "document_id", "text", "language", "title", article_editor(spark, sf_dir))
+    return scans.repaired(scanned_articles(spark, sf_dir), "document_id", "text", "language", "title", article_corpus(spark, sf_dir))
 
 
 def p4_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """relation_instance.context as continuous readable paragraphs; headers are told by the article's title."""
     titles = table(spark, sf_dir, "articles").groupBy("document_id").agg(F.max("media.publication_title").alias("title"))
     df = table(spark, sf_dir, "relation_instance").select("sample_id", "document_id", "context", "language").join(titles, "document_id", "left")
-    return scans.repaired(df, "sample_id", "context", "language", "title", article_editor(spark, sf_dir))
+    return scans.repaired(df, "sample_id", "context", "language", "title", article_corpus(spark, sf_dir))
 
 
 def p4_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """relation_instance.pers_mentions_list with clean mentions, each in its place."""
-    return scans.repaired_mentions(table(spark, sf_dir, "relation_instance"), "sample_id", "pers_mentions_list", "language", article_editor(spark, sf_dir))
+    return scans.repaired_mentions(table(spark, sf_dir, "relation_instance"), "sample_id", "pers_mentions_list", article_corpus(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

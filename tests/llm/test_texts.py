@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quirewell.llm import canonical as C, fold, leaks, packing, scans
 
@@ -105,6 +104,10 @@ TITLE = "Le Petit Canton"
 PAGE = ["LE PETIT CANTON.", "Le vapeur est arrivé à Vieux-", "Courtigny avec les voya-", "", "- 288 -", "Le Pctit Canton            87", "", "geurs et le tarif du sel.", "1815 ?", "[12]", "Est-", "il vrai ?"]
 
 
+NOISY = [["Karl Holten", "Holten", "Holten", "Hoiten"], ["Verlinel", "Verlincl", "Verlinel"], ["Tau- ner", "Tauner", "Tauner"], ["Saint-Val", "Mme Val"], ["Le-\nroux", "Leroux"], ["Pelcnet", "Pelenet", "Pelenet"], None, [None]]
+SCHEMA = "document_id string, text string, language string, title string, names array<array<string>>"
+
+
 def corpus():
     rnd = random.Random(1)
     words = "le vapeur est arrivé avec les voyageurs et tarif du sel Est-il vrai selon une dépêche particulière pour la somme convenue malgré pluies récentes".split()
@@ -119,7 +122,17 @@ def corpus():
                 if at > 0:
                     ws[k] = w[:at] + read + w[at + len(meant) :]
         lines = [" ".join(ws[j : j + 8]) for j in range(0, 60, 8)]
-        out.append((str(i), "\n".join(lines), "fr", TITLE, ["Jean Brafivaux"]))
+        for j in range(1, 7):  # words divided, and hyphens that stay
+            w = lines[j].split()[0]
+            if "-" in w:
+                lines[j - 1 : j + 1] = [f"{lines[j - 1]} {w.split('-')[0]}-", w.split("-")[1] + lines[j][len(w) :]]
+            elif len(w) > 5 and (i + j) % 3:
+                lines[j - 1 : j + 1] = [f"{lines[j - 1]} {w[:3]}-", w[3:] + lines[j][len(w) :]]
+        if i % 4:
+            lines[5:5] = [["", f"        {i}", ""], [f"— {i % 300} —", TITLE.upper() + "."], [f"[{i}]"]][i % 4 - 1]
+        if i % 3 == 0:
+            lines.insert(0, [TITLE, f"{TITLE.upper()}, 1843-01-02.", f"{TITLE}            {i}"][i % 9 // 3])
+        out.append((str(i), "\n".join(lines), "fr", TITLE, [["Jean Brafivaux", "Brafivaux", "Brafivaux"], NOISY[i % len(NOISY)]]))
     return out
 
 
@@ -131,45 +144,83 @@ def test_line_kinds_and_divisions():
     assert "running_header" not in scans.line_kinds(PAGE, None)
 
 
+def trained(spark, rows=None):
+    df = spark.createDataFrame(corpus() if rows is None else rows, SCHEMA)
+    return df, scans.train(df, "text", "language", "title", "names")
+
+
+def found(df, made, keys=("document_id", "text", "language", "title")):
+    return {(r.record_key, r.pos, r.defect) for r in scans.defects(df, *keys, made).collect()}
+
+
 def test_editor_on_held_out_misreadings(spark):
-    rows = corpus()
-    df = spark.createDataFrame(rows, "document_id string, text string, language string, title string, names array<string>")
-    editor = scans.train(df, "text", "language", "title", "names")
-    found, text = scans.inspect("\n".join(PAGE), "fr", TITLE, editor, {})
-    assert {(2, "broken_word"), (0, "running_header"), (4, "page_number")} <= set(found)
-    assert (1, "broken_word") not in found and (10, "broken_word") not in found
+    df, made = trained(spark)
+    page = spark.createDataFrame([("p", "\n".join(PAGE), "fr", TITLE)], "document_id string, text string, language string, title string")
+    got = {(i, d) for _, i, d in found(page, made)}
+    assert {(2, "broken_word"), (0, "running_header"), (5, "running_header"), (4, "page_number"), (9, "page_number")} <= got
+    assert (1, "broken_word") not in got and (10, "broken_word") not in got and (8, "page_number") not in got
+    text = scans.repaired(page, "document_id", "text", "language", "title", made).first().clean_text
     assert "voyageurs et le tarif" in text and "288" not in text
-    rnd = random.Random(9)
-    right = total = 0
+    editor, right, total = made.editor, 0, 0
     for w in ["voyageurs", "particulière", "convenue", "récentes", "vapeur", "malgré", "selon"]:
         for read, meant in (("c", "e"), ("u", "n"), ("f", "s"), ("1", "l")):
             at = w.find(meant, 1)
             if at > 0:
                 total += 1
-                got = editor.correct("fr", w[:at] + read + w[at + 1 :])
-                right += got is not None and got[0] == w
+                fixed = editor.correct("fr", w[:at] + read + w[at + 1 :])
+                right += fixed is not None and fixed[0] == w
     assert total >= 8 and right / total >= 0.8
     assert all(editor.correct("fr", w) is None for w in ("voyageurs", "Brafivaux", "xyzzy"))
-    del rnd
+
+
+def test_without_weights_nothing_is_changed(spark):
+    df, made = trained(spark)
+    before = found(df, made)
+    lists = [["Verlonet", "Verlonet", "Vcrlonet", "Verl- onet"]]
+    assert len({d for *_, d in before}) >= 2 and scans.Editor.mentions(made.editor, lists[0])[0]
+    for ranker in ("furniture", "joining", "editing", "name_joining", "name_editing"):
+        getattr(made.editor, ranker).weight = {}
+    forms = scans.statistics(df, "text", "language", "title", "names").where("kind = 'w'")
+    made.fixes = scans.judged(forms, made.editor)
+    assert found(df, made) == set() and made.editor.mentions(lists[0]) == ([], lists[0])
+
+
+def test_spurious_letters_are_deleted_where_the_corpus_shows_them():
+    rnd = random.Random(4)
+    good = ["".join(rnd.choice("abdeghklmnoprstu") for _ in range(7)) for _ in range(60)]
+    rows = [("de", w, 400, 0, 0) for w in good]
+    sample = [("de", w[:3] + "j" + w[3:], 1, 0) for w in good[:50]]
+    editor = scans.Editor(rows + [(*r, 0) for r in sample], {"de": 1000}, sample, [], [], [])
+    assert ("j", "") in [x for v in editor.starts.values() for x in v] or any(m == "" or len(m) < len(r) for v in editor.starts.values() for r, m in v)
+    assert all(editor.correct("de", w[:3] + "j" + w[3:]) == (w, 3) for w in good[50:])
+    assert all(editor.correct("de", w, 400) is None for w in good)
+
+
+def test_rare_words_are_treated_alike_at_every_size(spark):
+    rows = corpus()
+    for n in (1, 3):
+        many = [(f"{r[0]}x{k}", *r[1:]) for r in rows for k in range(n)]
+        many += [(f"r{k}", "la sémaphorie du sel", "fr", TITLE, None) for k in range(8 * n)] + [("m", "la sémaphoric du sel", "fr", TITLE, None)]
+        df, made = trained(spark, many)
+        assert [(i, d) for k, i, d in found(df.where("document_id = 'm'"), made)] == [(0, "misread")]
 
 
 def test_mentions_and_odd_rows(spark):
-    df = spark.createDataFrame(corpus(), "document_id string, text string, language string, title string, names array<string>")
-    editor = scans.train(df, "text", "language", "title", "names")
+    _, made = trained(spark)
     names = ["Jean Verlonet", "Verlonet", "Vcrlonet", "Verl- onet", None, "Ver­\nlonet", "St.-Rat X", ""]
-    found, fixed = scans.inspect_mentions(names, "fr", editor)
-    assert found == [(2, "misread"), (3, "broken_word"), (5, "broken_word")]
+    got, fixed = made.editor.mentions(names)
+    assert got == [(2, "misread"), (3, "broken_word"), (5, "broken_word")]
     assert fixed[2] == fixed[3] == fixed[5] == "Verlonet"
-    odd = spark.createDataFrame([("a", None, None, None), ("b", "", "fr", TITLE), ("c", "x\n\n\n7\n", "xx", None), ("c", "x\n\n\n7\n", "xx", None)], "k string, text string, language string, title string")
-    got = scans.defects(odd, "k", "text", "language", "title", editor).distinct().collect()
-    assert [(r.record_key, r.pos, r.defect) for r in got] == [("c", 3, "page_number")]
-    assert scans.defects(odd.where("false"), "k", "text", "language", "title", editor).count() == 0
+    odd = spark.createDataFrame([("a", None, None, None), ("b", "", "fr", TITLE), ("c", "x\n\n\n        7\n", "xx", None), ("c", "x\n\n\n        7\n", "xx", None)], "document_id string, text string, language string, title string")
+    assert found(odd, made) == {("c", 3, "page_number")}
+    assert found(odd.where("false"), made) == set()
+    assert {r.document_id: r.clean_text for r in scans.repaired(odd, "document_id", "text", "language", "title", made).collect()} == {"a": None, "b": "", "c": "x"}
 
 
 def test_training_on_nothing(spark):
-    empty = spark.createDataFrame([], "document_id string, text string, language string, title string, names array<string>")
-    editor = scans.train(empty, "text", "language", "title", "names")
-    assert scans.inspect("a-\nb 1'x", "fr", None, editor, {})[1]
+    df, made = trained(spark, [])
+    assert made.fixes.count() == 0 and found(df, made) == set()
+    assert scans.repair("a-\nb 1'x", "fr", None, made.editor, {}) == "a- b 1'x"
 
 
 # ---- packing
@@ -216,7 +267,6 @@ def test_containers_cover_every_token(spark):
 def test_measured_by_a_public_tokenizer(spark):
     df = texts(spark, [(1, "Hello world"), (2, None), (3, ""), (4, "<|endoftext|>")])
     assert {r.doc_id for r in packing.measured(df, "doc_id", "text").collect()} == {1, 4}
-    assert F.lit(1) is not None
 
 
 def test_clean_mentions_and_contexts(spark):
@@ -224,10 +274,9 @@ def test_clean_mentions_and_contexts(spark):
     from quirewell.llm.queries import QUERIES
     from quirewell.session import table
 
-    df = spark.createDataFrame(corpus(), "document_id string, text string, language string, title string, names array<string>")
-    editor = scans.train(df, "text", "language", "title", "names")
+    _, made = trained(spark)
     rows = spark.createDataFrame([("a", ["Jean Verlonet", "Verlonet", "Vcrlonet", "Verl- onet", None], "fr"), ("b", None, "fr"), ("c", [], None)], "k string, m array<string>, l string")
-    got = {r.k: r.clean_mentions for r in scans.repaired_mentions(rows, "k", "m", "l", editor).collect()}
+    got = {r.k: r.clean_mentions for r in scans.repaired_mentions(rows, "k", "m", made).collect()}
     assert got == {"a": ["Jean Verlonet", "Verlonet", "Verlonet", "Verlonet", None], "b": None, "c": []}
     samples = table(spark, SF, "relation_instance")
     assert QUERIES["p4_mentions"](spark, SF).count() == samples.count()
