@@ -33,13 +33,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 ROOT = "$"
 EDGE_DDL = "parent string, child string, objects long, arrays long, scalars long, encoded long, most long"
 ROW_DDL = (
     "record_key string, table_name string, row_id string, parent_table string, parent_id string, role string, "
-    "position long, inherited map<string,string>, columns map<string,string>"
+    "position long, parent_position long, inherited map<string,string>, columns map<string,string>"
 )
 
 
@@ -117,19 +118,22 @@ def _edges(value, element: str, naming: Naming, out: dict) -> None:
         value, element, parent = stack.pop()
         items = value if isinstance(value, list) else [value]
         kinds = [naming.sign(x, element) if isinstance(x, dict) else element for x in items]
-        counts = out.setdefault((parent, kinds[0] if kinds else element), [0, 0, 0, 0, 0])
-        counts[1] += isinstance(value, list)
-        counts[4] = max(counts[4], len(items))
+        each: dict[str, int] = {}
+        for kind in kinds or [element]:
+            each[kind] = each.get(kind, 0) + 1
+        for kind, n in each.items():  # a list may mix kinds: an edge for each
+            counts = out.setdefault((parent, kind), [0, 0, 0, 0, 0])
+            counts[1] += isinstance(value, list)
+            counts[4] = max(counts[4], n if kinds else 0)
         for x, kind in zip(items, kinds):
             if isinstance(x, dict):
-                counts[0] += 1
+                out[(parent, kind)][0] += 1
                 stack.extend((y, naming.element(kind, k), kind) for k, y in x.items() if y is not None)
             elif isinstance(x, list):
                 stack.append((x, kind, parent))
             elif x is not None:
                 inner = _decoded(x)
-                counts[2] += inner is None
-                counts[3] += inner is not None
+                out[(parent, kind)][2 if inner is None else 3] += 1
                 if inner is not None:
                     stack.append((inner, kind, parent))
 
@@ -192,11 +196,11 @@ def plan_tables(graph: dict[tuple[str, str], dict[str, int]], always: tuple[str,
 
 def _walk(key: str, value, naming: Naming, plan: TablePlan, out: list) -> None:
     """Appends the rows of one record. An explicit stack: nesting depth isn't bounded by Python's."""
-    #: value, element, parent table, parent id, role, inherited keys, columns of the nearest table, prefix, id stem
-    stack = [(value, ROOT, None, None, None, {}, None, "", key)]
+    #: value, element, parent table, parent id, parent position, role, inherited keys, columns of the nearest table, prefix, id stem
+    stack = [(value, ROOT, None, None, None, None, {}, None, "", key)]
     number: dict[str, int] = {}
     while stack:
-        value, element, ptable, pid, role, inherited, columns, prefix, stem = stack.pop()
+        value, element, ptable, pid, ppos, role, inherited, columns, prefix, stem = stack.pop()
         if element in plan.encoded and (inner := _decoded(value)) is not None:
             value = inner
         items = value if isinstance(value, list) else [value]
@@ -205,15 +209,15 @@ def _walk(key: str, value, naming: Naming, plan: TablePlan, out: list) -> None:
                 continue
             kind = naming.sign(x, element) if isinstance(x, dict) else element
             if isinstance(x, list):
-                stack.append((x, kind, ptable, pid, role, inherited, columns, prefix, f"{stem}.{position}"))
+                stack.append((x, kind, ptable, pid, ppos, role, inherited, columns, prefix, f"{stem}.{position}"))
                 continue
             table, name = kind in plan.tables, prefix
-            below_table, below_id, below, cols = ptable, pid, inherited, columns
+            below_table, below_id, below_pos, below, cols = ptable, pid, ppos, inherited, columns
             if table:
                 base = f"{stem}/{kind}{'' if role is None else ':' + role}{position}"
                 n = number[base] = number.get(base, -1) + 1
-                below_table, below_id, cols, name = kind, base if not n else f"{base}~{n}", {}, ""
-                out.append((key, kind, below_id, ptable, pid, role, position, inherited, cols))
+                below_table, below_id, below_pos, cols, name = kind, base if not n else f"{base}~{n}", position, {}, ""
+                out.append((key, kind, below_id, ptable, pid, role, position, ppos, inherited, cols))
             if not isinstance(x, dict):
                 if cols is not None:
                     cols[name.rstrip("_") or "value"] = x if isinstance(x, str) else json.dumps(x)
@@ -224,7 +228,7 @@ def _walk(key: str, value, naming: Naming, plan: TablePlan, out: list) -> None:
                 child = naming.element(kind, k)
                 if isinstance(y, (dict, list)) or child in plan.tables or child in plan.encoded:
                     inner = f"{name}{child}_" if child not in plan.tables else ""
-                    stack.append((y, child, below_table, below_id, naming.role(kind, k, role), below, cols, inner, below_id if table else stem))
+                    stack.append((y, child, below_table, below_id, below_pos, naming.role(kind, k, role), below, cols, inner, below_id if table else stem))
                 elif y is not None and cols is not None:
                     cols[name + child] = y if isinstance(y, str) else json.dumps(y)
 
@@ -253,4 +257,39 @@ def as_table(rows: DataFrame, name: str, columns: list[str], inherited: list[str
     """One flat table out of the rows: keys, foreign key, the named inlined columns."""
     picked = [F.col("columns")[c].alias(c) for c in columns]
     above = [F.col("inherited")[c].alias(f"parent_{c}") for c in inherited]
-    return rows.where(F.col("table_name") == name).select("record_key", "row_id", "parent_table", "parent_id", "role", "position", *above, *picked)
+    return rows.where(F.col("table_name") == name).select("record_key", "row_id", "parent_table", "parent_id", "role", "position", "parent_position", *above, *picked)
+
+
+def typed_tables(df: DataFrame, row_id: str, root: str, names: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Shared inlining of nested *columns*: their types are the schema graph, so no scan is needed and all of it stays in the JVM.
+
+    Structs are inlined (prefixed columns), every array becomes a table: row_id,
+    parent_id, position and the columns of its elements (``value`` for plain
+    ones). ``names`` names the tables of arrays, by field. Null arrays give no
+    rows; null elements keep their position but give none.
+    """
+    names = names or {}
+    out: dict[str, DataFrame] = {}
+
+    def inline(kind: DataType, value: Column, prefix: str, flat: list, arrays: list) -> None:
+        if isinstance(kind, StructType):
+            for f in kind.fields:
+                inline(f.dataType, value[f.name], f"{prefix}_{f.name}" if prefix else f.name, flat, arrays)
+        elif isinstance(kind, ArrayType):
+            arrays.append((names.get(prefix, prefix), kind.elementType, value))
+        else:
+            flat.append(value.alias(prefix or "value"))
+
+    def visit(name: str, frame: DataFrame, keys: list[str], kind: DataType) -> None:
+        flat: list = []
+        arrays: list = []
+        inline(kind, F.col("_v"), "", flat, arrays)
+        out[name] = frame.select(*keys, *flat)
+        for child, element, value in arrays:
+            t = frame.select(F.col("row_id").alias("parent_id"), F.posexplode(value).alias("position", "_v")).where(F.col("_v").isNotNull())
+            visit(child, t.withColumn("row_id", F.concat("parent_id", F.lit(f"/{child}"), "position")), ["row_id", "parent_id", "position"], element)
+
+    whole = F.struct(*[F.col(c) for c in df.columns if c != row_id])
+    rows = df.select(F.col(row_id).alias("row_id"), whole.alias("_v"))
+    visit(root, rows, ["row_id"], rows.schema["_v"].dataType)
+    return out

@@ -17,19 +17,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def _counts(df: DataFrame, bucket) -> dict[int, int]:
-    return {r[0]: r[1] for r in df.groupBy(bucket.alias("b")).count().collect()}
+def hot_buckets(df: DataFrame, on: list[str], per_task: int = 2_000_000, buckets: int = 16_384) -> dict[int, int]:
+    """bucket -> salts of the hash buckets of ``on`` that hold more than ``per_task`` rows."""
+    counts = df.groupBy(F.pmod(F.xxhash64(*on), F.lit(buckets)).alias("b")).count().where(F.col("count") > per_task)
+    return {r[0]: -(-r[1] // per_task) for r in counts.collect()}
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", per_task: int = 2_000_000, buckets: int = 16_384) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", per_task: int = 2_000_000, buckets: int = 16_384, left_hot: dict[int, int] | None = None, right_hot: dict[int, int] | None = None) -> DataFrame:
     """``left.join(right, on, how)`` for ``how`` inner, left or left_semi, by sorted runs, hot keys split.
 
     Outer and semi joins split the left side only: a row must meet all partners in one place.
+    ``left_hot`` and ``right_hot`` spare the counting where it is known (``hot_buckets``; {} for a side with unique keys).
     """
     bucket = F.pmod(F.xxhash64(*on), F.lit(buckets))
-    per = lambda n: -(-n // per_task)
-    a = {b: per(n) for b, n in _counts(left, bucket).items() if n > per_task}
-    b = {b: per(n) for b, n in _counts(right, bucket).items() if n > per_task} if how == "inner" else {}
+    a = hot_buckets(left, on, per_task, buckets) if left_hot is None else left_hot
+    b = {} if how != "inner" else hot_buckets(right, on, per_task, buckets) if right_hot is None else right_hot
     if not a and not b:
         return left.join(right.hint("merge"), on, how)
     rows = [(int(k), a.get(k, 1), b.get(k, 1)) for k in sorted(a.keys() | b.keys())]

@@ -22,4 +22,4 @@ QUERIES: dict[str, Query] = {
     **texts.QUERIES,
     **models.QUERIES,
 }
-ORACLE: dict[str, str] = {"p1_found": nested.P1_SQL, **nested.ARTICLE_SQL, **scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE, **models.ORACLE}
+ORACLE: dict[str, str] = {"p1_found": nested.P1_SQL, **nested.P1_TABLES_SQL, **nested.ARTICLE_SQL, **scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE, **models.ORACLE}

@@ -2,7 +2,7 @@
 
 import json
 
-from quirewell.operators.shred import Naming, analyse, as_table, parse, plan_tables, shred
+from quirewell.operators.shred import Naming, analyse, as_table, parse, plan_tables, shred, typed_tables
 from quirewell.plans.nested import DELIVERY
 
 DOC = {"document_id": "d", "sampled_pairs": [{"pers_mentions_list": ["a", None, {"surface": "b"}], "loc_mentions_list": "c"}, None, {"person": {"mentions": [""]}, "location": {"mentions": {"surface": "e"}}}]}
@@ -45,6 +45,16 @@ def test_parents_exist_and_keys_are_unique(spark):
     assert {r.parent_id for r in rows if r.parent_id} <= set(keys)
 
 
+def test_lists_of_mixed_kinds_lose_nothing(spark):
+    naming = Naming(signatures={"a": "x", "b": "y"})
+    payloads = ['{"items":[{"a":1},{"b":2},{"b":3}]}', '{"items":[{"b":4},{"a":5},null,7,[{"a":6}]]}']
+    df = spark.createDataFrame(list(enumerate(payloads)), "id long, payload string")
+    graph = analyse(df, "payload", naming)
+    assert {k: v["objects"] for k, v in graph.items() if k[1] in "xy"} == {("$", "x"): 3, ("$", "y"): 3}
+    got = sorted((r.record_key, r.table_name, r.position, *sorted(r["columns"].items())) for r in shred(df, "id", "payload", naming).collect() if r.table_name in "xy")
+    assert got == [("0", "x", 0, ("a", "1")), ("0", "y", 1, ("b", "2")), ("0", "y", 2, ("b", "3")), ("1", "x", 0, ("a", "6")), ("1", "x", 1, ("a", "5")), ("1", "y", 0, ("b", "4"))]
+
+
 def test_plan_inlines_singletons_and_splits_the_rest(spark):
     records = [{"a": {"b": {"c": 1}}, "kids": [{"kids": [{"n": 1}]}], "x": {"s": {"v": 1}}, "y": {"s": {"v": 2}}}]
     df = spark.createDataFrame([(1, json.dumps(records[0]))], "id long, payload string")
@@ -60,3 +70,13 @@ def test_deep_recursion_and_empty_table(spark):
     assert shred(df, "id", "payload", Naming()).where("table_name = 'child'").count() == 201
     assert shred(df.where("false"), "id", "payload", Naming()).count() == 0
     assert parse("[" * 100_000) is None
+
+
+def test_typed_columns_become_linked_tables(spark):
+    ddl = "k string, a struct<b:int,c:array<struct<d:string,e:array<string>>>>, position int"
+    df = spark.createDataFrame([("r", (1, [("x", ["p", None, "q"]), None, ("y", None)]), 5), ("s", None, None), ("t", (None, []), 5)], ddl)
+    t = typed_tables(df, "k", "root", {"a_c": "part"})
+    assert sorted(t) == ["e", "part", "root"]
+    assert sorted(map(tuple, t["root"].fillna(-1).collect())) == [("r", 1, 5), ("s", -1, -1), ("t", -1, 5)]
+    assert sorted(map(tuple, t["part"].collect())) == [("r/part0", "r", 0, "x"), ("r/part2", "r", 2, "y")]
+    assert sorted(map(tuple, t["e"].collect())) == [("r/part0/e0", "r/part0", 0, "p"), ("r/part0/e2", "r/part0", 2, "q")]
