@@ -39,6 +39,7 @@ give the same defects once (``distinct``); extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -103,12 +104,21 @@ def plain(text: str) -> str:
 # ---- furniture
 
 
+@functools.lru_cache(1 << 16)
+def likeness_to(title: str, got: str) -> float:
+    """How alike a line and a title are; 0 where a bound by their letters shows that it is less than 0.6."""
+    match = SequenceMatcher(None, got, title, autojunk=False)
+    return match.ratio() if match.quick_ratio() >= 0.6 else 0.0
+
+
 def suspects(lines: list[str], title: str | None) -> dict[int, tuple[float, str]]:
     """line -> (likeness to the title, digits and form of the number) of the lines that may be furniture at all."""
     want = plain(title or "")
     least, most = len(want) * 0.75 - 6, len(want) * 1.25 + 12
     out = {}
     for i, line in enumerate(lines):
+        if len(line) - line.count(" ") > most + 24:  # besides its letters a header has a date and a number at most
+            continue
         letters = sum(map(str.isalpha, line))
         if letters <= 4 and (m := NUMBER.fullmatch(line)) and any(map(str.isdigit, m[1])):
             s = line.strip()
@@ -116,10 +126,8 @@ def suspects(lines: list[str], title: str | None) -> dict[int, tuple[float, str]
             out[i] = (0.0, f"{len(m[1])}{form}")
         elif want and least <= letters <= most and letters:
             got = plain(DATE.sub(" ", line))
-            if abs(len(got) - len(want)) <= max(2, len(want) // 4):
-                match = SequenceMatcher(None, got, want, autojunk=False)
-                if match.quick_ratio() >= 0.5 and (alike := match.ratio()) >= 0.5:
-                    out[i] = (alike, "")
+            if abs(len(got) - len(want)) <= max(2, len(want) // 4) and (alike := likeness_to(want, got)) >= 0.6:
+                out[i] = (alike, "")
     return out
 
 
