@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.skew import split_join
 from ..session import cut
 from . import fold
 
@@ -244,15 +245,28 @@ def fold_spaces() -> str:
     return "".join(chr(o) for o in np.flatnonzero(table == 0x20) if o != 0x20)
 
 
-def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs (key_a < key_b) of rows whose non-empty texts look the same and whose characters differ.
+def alike_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Members (key, look, raw, n_alike) and links (look, raw_a, raw_b) of the texts that look like others.
 
-    Rows meet by a digest of the canonical text. Only groups with two or more
-    different spellings are joined; copies of one spelling form no pair.
+    ``look`` names what a text looks like and ``raw`` its spelling; the rows
+    that look the same and are spelt differently are ``n_alike``. A link is a
+    pair of spellings (raw_a < raw_b) of one look, however many rows have
+    them: copies are counted, never paired.
     """
     slim = canonical(df.select(key, text).where(F.length(text) > 0), key, text, "_canonical")
-    rows = cut(slim.select(F.col(key).alias("k"), F.sha2("_canonical", 256).alias("look"), F.sha2(F.col(text), 256).alias("raw")))
-    kinds = rows.groupBy("look", "raw").agg(F.count("*").alias("n")).groupBy("look").agg(F.count("*").alias("kinds")).where("kinds > 1").select("look")
-    some = rows.join(kinds, "look", "left_semi")
-    a, b = some.select("look", F.col("k").alias("a"), F.col("raw").alias("raw_a")), some.select("look", F.col("k").alias("b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "look").where("a < b and raw_a <> raw_b").select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b")).distinct()
+    rows = cut(slim.select(F.col(key), F.sha2("_canonical", 256).alias("look"), F.sha2(F.col(text), 256).alias("raw")))
+    spelt = rows.groupBy("look", "raw").agg(F.count("*").alias("n"))
+    looks = spelt.groupBy("look").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("kinds > 1").drop("kinds")
+    some = cut(spelt.join(looks.hint("merge"), "look"))  # spellings of looks that have several
+    members = split_join(rows, some, ["look", "raw"], right_hot={}).select(key, "look", "raw", (F.col("all") - F.col("n")).alias("n_alike"))
+    a, b = some.select("look", F.col("raw").alias("raw_a")), some.select("look", F.col("raw").alias("raw_b"))
+    return members, split_join(a, b, ["look"]).where("raw_a < raw_b")
+
+
+def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Pairs (key_a < key_b) of rows whose non-empty texts look the same and whose characters differ: the links, expanded by their members."""
+    members, found = alike_classes(df, key, text)
+    a = members.select("look", F.col("raw").alias("raw_a"), F.col(key).alias("a"))
+    b = members.select("look", F.col("raw").alias("raw_b"), F.col(key).alias("b"))
+    wide = split_join(split_join(a, found, ["look", "raw_a"]), b, ["look", "raw_b"])
+    return wide.where("a <> b").select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()

@@ -83,6 +83,14 @@ def test_pairs_equal_brute_force(spark):
     assert {(r.doc_id_a, r.doc_id_b) for r in got.collect()} == want and len(want) > 50
 
 
+def test_alike_classes_count_copies(spark):
+    rows = [(i, "see ore") for i in range(40)] + [(100 + i, "see οre") for i in range(30)] + [(200, "sее ore"), (300, "other"), (301, "other"), (400, None), (401, "")]
+    members, links = C.alike_classes(texts(spark, rows), "doc_id", "text")
+    got = {r.doc_id: r.n_alike for r in members.collect()}
+    assert got == {**{i: 31 for i in range(40)}, **{100 + i: 41 for i in range(30)}, 200: 70}
+    assert links.count() == 3 and C.alike_pairs(texts(spark, rows), "doc_id", "text").count() == 40 * 30 + 70
+
+
 def test_canonical_text(spark):
     docs = texts(spark, [(1, "conocer вечер"), (2, "cοnοcer вeчeр"), (3, None), (4, ""), (5, "conocer"), (2, "cοnοcer вeчeр")])
     got = sorted((r.doc_id, r.canonical_text) for r in C.canonical(docs, "doc_id", "text").collect() if r.canonical_text)
