@@ -19,11 +19,13 @@ are each reported; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.skew import split_join
 from . import fold
 
 UNSPACED = ("zh", "ja", "th")
@@ -170,42 +172,55 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
 def _joined(corpus: DataFrame, held: DataFrame, words: int, letters: int, chars_at_once: int, keys: dict) -> DataFrame:
     """Beyond the bound: windows of both sides, joined by hash and content (a digest of the folded letters).
 
-    Windows of documents are first cut down to hashes that items have (a left
-    semi join on distinct hashes); the join then holds hits only.
+    Hashes of the documents' windows are cut down to those that items have (a
+    left semi join on distinct hashes; hashes and row ids only). The documents
+    that are left are read again, and only windows with such a hash are
+    digested and joined, so the digests and the join hold hits only.
     """
 
-    def emit(both: bool):
+    def windows_of(batches: Iterator[pd.DataFrame], both: bool):
+        """(part, places of its texts, units, hashes, whole windows, unspaced, size) of every stretch of a batch."""
+        for batch in batches:
+            for _, part in batch.groupby(np.cumsum(batch["t"].str.len().to_numpy()) // chars_at_once):
+                texts = part["t"].tolist()
+                for unspaced, size in ((False, words), (True, letters)):
+                    which = [i for i, x in enumerate(texts) if both or is_unspaced(x, part["l"].iloc[i]) is unspaced]
+                    units = Units([texts[i] for i in which], unspaced)
+                    h, whole = units.hashes(size)
+                    if whole.any():
+                        yield part, np.array(which, int), units, h.view(np.int64), np.flatnonzero(whole), unspaced, size
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, which, units, h, at, unspaced, _ in windows_of(batches, True):
+            yield pd.DataFrame({"row": part["r"].to_numpy()[which[units.doc[at]]], "unspaced": unspaced, "h": h[at]}).drop_duplicates()
+
+    def digests(both: bool):
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import hashlib
-
-            for batch in batches:
-                for _, part in batch.groupby(np.cumsum(batch["t"].str.len().to_numpy()) // chars_at_once):
-                    texts, ids = part["t"].tolist(), part["k"].to_numpy()
-                    for unspaced, size in ((False, words), (True, letters)):
-                        which = [i for i, x in enumerate(texts) if both or is_unspaced(x, part["l"].iloc[i]) is unspaced]
-                        units = Units([texts[i] for i in which], unspaced)
-                        h, whole = units.hashes(size)
-                        at = np.flatnonzero(whole)
-                        if not len(at):
-                            continue
-                        yield pd.DataFrame({
-                            "k": ids[np.array(which, int)[units.doc[at]]], "row": part["r"].to_numpy()[np.array(which, int)[units.doc[at]]],
-                            "place": at - np.searchsorted(units.doc, units.doc[at]),
-                            "unspaced": unspaced, "h": h[at].view(np.int64),
-                            "digest": [hashlib.blake2b(units.content(i, size), digest_size=16).digest() for i in at.tolist()],
-                            "start_char": units.start[at], "end_char": units.end[at + size - 1],
-                        })
+            for part, which, units, h, at, unspaced, size in windows_of(batches, both):
+                if both:
+                    hits = np.unique(np.concatenate([*part["hits"], np.zeros(0, np.int64)]))
+                    at = at[np.isin(h[at], hits)]
+                yield pd.DataFrame({
+                    "k": part["k"].to_numpy()[which[units.doc[at]]], "row": part["r"].to_numpy()[which[units.doc[at]]],
+                    "place": at - np.searchsorted(units.doc, units.doc[at]),
+                    "unspaced": unspaced, "h": h[at],
+                    "digest": [blake2b(units.content(i, size), digest_size=16).digest() for i in at.tolist()],
+                    "start_char": units.start[at], "end_char": units.end[at + size - 1],
+                })
 
         return work
 
     ddl = "k {}, row bigint, place bigint, unspaced boolean, h bigint, digest binary, start_char bigint, end_char bigint"
-    a = corpus.withColumns({"l": F.lit(None).cast("string"), "r": F.xxhash64("t")}).mapInPandas(emit(True), ddl.format(keys["key"]))
-    b = held.withColumn("r", F.lit(0).cast("bigint")).mapInPandas(emit(False), ddl.format(keys["item"])).select(F.col("k").alias("item"), "unspaced", "h", "digest").distinct()
+    b = held.withColumn("r", F.lit(0).cast("bigint")).mapInPandas(digests(False), ddl.format(keys["item"])).select(F.col("k").alias("item"), "unspaced", "h", "digest").distinct()
+    docs = corpus.withColumns({"l": F.lit(None).cast("string"), "r": F.xxhash64("t")})
+    met = docs.mapInPandas(hashes, "row bigint, unspaced boolean, h bigint").join(b.select("unspaced", "h").distinct().hint("merge"), ["unspaced", "h"], "left_semi")
+    met = met.groupBy(F.col("row").alias("r")).agg(F.collect_set("h").alias("hits"))  # as many as a text has windows
+    a = docs.join(met.hint("merge"), "r").select("k", "t", "l", "r", "hits").mapInPandas(digests(True), ddl.format(keys["key"]))
     on = ["unspaced", "h", "digest"]
     #: runs of windows that touch are one span, as in ItemIndex.search
     own = ["doc", "row", "item", "unspaced"]
     w = Window.partitionBy(*own).orderBy("place")
-    hits = a.withColumnRenamed("k", "doc").join(b, on).select(*own, "place", "start_char", "end_char").distinct()
+    hits = split_join(a.withColumnRenamed("k", "doc"), b, on, right_hot={}).select(*own, "place", "start_char", "end_char").distinct()
     far = F.col("place") > F.lag("place").over(w) + F.when(F.col("unspaced"), letters).otherwise(words)
     runs = hits.withColumn("far", F.coalesce(far.cast("int"), F.lit(0))).withColumn("run", F.sum("far").over(w))
     return runs.groupBy(*own, "run").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")).select("doc", "item", "start_char", "end_char")

@@ -2,7 +2,9 @@
 
 Records and the keys they share form a graph. Each key links its records in a
 star around the smallest one (linear in the incidences, whatever the key's
-size), so no group is ever gathered or paired.
+size), so no group is ever gathered or paired. Joins on keys and on vertices
+split those that hold more than ``per_task`` rows over several tasks
+(``operators.skew``).
 
 One level of the search: every vertex whose hash is smaller than those of all
 its neighbours is a seed (a steady share of any graph, chains included); all seeds expand at once, hop by hop, over the hash-partitioned
@@ -30,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.skew import hot_buckets, split_join
 from ..session import cut
 
 
@@ -58,29 +61,30 @@ def _merge(edges: DataFrame) -> DataFrame:
     return edges.where("u < v").coalesce(1).mapInPandas(work, "u bigint, label bigint")
 
 
-def _level(edges: DataFrame, hops: int) -> DataFrame:
+def _level(edges: DataFrame, hops: int, per_task: int) -> DataFrame:
     """u, label: one level of the search; ``edges`` holds both directions."""
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
     smallest = edges.groupBy("u").agg(F.min(order("v")).alias("least"))
     labels = smallest.where(order("u") < F.col("least")).select("u", F.col("u").alias("label"))
     frontier = labels
+    hot = hot_buckets(edges, ["u"], per_task)  # a key's centre is next to all its records
     for _ in range(hops):
-        reached = edges.join(frontier, "u").groupBy("v").agg(F.min("label").alias("label")).withColumnRenamed("v", "u")
+        reached = split_join(edges, frontier, ["u"], per_task=per_task, left_hot=hot, right_hot={}).groupBy("v").agg(F.min("label").alias("label")).withColumnRenamed("v", "u")
         frontier = reached.join(labels, "u", "left_anti")
         labels = labels.unionByName(frontier)
     alone = smallest.select("u").join(labels, "u", "left_anti").select("u", F.col("u").alias("label"))
     return labels.unionByName(alone)
 
 
-def components(links: DataFrame, hops: int = 2, most_local: int = 1_000_000) -> DataFrame:
+def components(links: DataFrame, hops: int = 2, most_local: int = 1_000_000, per_task: int = 2_000_000) -> DataFrame:
     """u, label over the vertices of ``links`` (u, v: bigint, any direction, loops allowed). label is one of the component's vertices."""
     edges = links.where("u <> v")
     edges = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     total = None
     while True:
-        labels = cut(_level(edges, hops))
-        a = edges.where("u < v").join(labels, "u").select(F.col("label").alias("a"), F.col("v").alias("u"))
-        small = a.join(labels, "u").select(F.col("a").alias("u"), F.col("label").alias("v")).where("u <> v")
+        labels = cut(_level(edges, hops, per_task))
+        a = split_join(edges.where("u < v"), labels, ["u"], per_task=per_task, right_hot={}).select(F.col("label").alias("a"), F.col("v").alias("u"))
+        small = split_join(a, labels, ["u"], per_task=per_task, right_hot={}).select(F.col("a").alias("u"), F.col("label").alias("v")).where("u <> v")
         small = cut(small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
         total = labels if total is None else _follow(total, labels)
         n = small.count()
@@ -96,7 +100,7 @@ def _follow(labels: DataFrame, further: DataFrame) -> DataFrame:
     return labels.join(step, "label", "left").select("u", F.coalesce("_next", "label").alias("label"))
 
 
-def group_records(records: DataFrame, key: str, shared: list, hops: int = 2, most_local: int = 1_000_000) -> DataFrame:
+def group_records(records: DataFrame, key: str, shared: list, hops: int = 2, most_local: int = 1_000_000, per_task: int = 2_000_000) -> DataFrame:
     """key, group (bigint) for every distinct record key.
 
     ``shared`` are columns or arrays of strings; records that hold the same
@@ -110,9 +114,10 @@ def group_records(records: DataFrame, key: str, shared: list, hops: int = 2, mos
     keys = F.concat(*[F.coalesce(t, empty) for t in tagged])
     docs = cut(records.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct().withColumn("u", F.monotonically_increasing_id()))
     held = records.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.explode(keys).alias("s")).distinct().join(docs, "k").select("s", "u")
+    held = cut(held)
     centres = held.groupBy("s").agg(F.min("u").alias("v"))
-    links = held.join(centres, "s").where("u <> v").select("u", "v").distinct()
-    found = components(links, hops, most_local)
+    links = split_join(held, centres, ["s"], per_task=per_task, right_hot={}).where("u <> v").select("u", "v").distinct()
+    found = components(links, hops, most_local, per_task)
     return docs.join(found, "u", "left").select(F.col("k").alias(key), F.coalesce("label", "u").alias("group"))
 
 

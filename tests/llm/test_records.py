@@ -95,6 +95,15 @@ def test_groups_share_keys_and_nulls_never_match(spark):
     assert S.group_records(df.where("false"), "document_id", [(F.col("s"), False)]).count() == 0
 
 
+def test_a_key_on_half_the_records_is_split(spark):
+    rows = [(f"d{i}", "hot" if i % 2 else f"s{i % 50}", None if i % 3 else f"c{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "document_id string, s string, c string")
+    keys = [(F.col("s"), False), (F.col("c"), False)]
+    whole = {r.document_id: r["group"] for r in S.group_records(df, "document_id", keys).collect()}
+    parts = {r.document_id: r["group"] for r in S.group_records(df, "document_id", keys, per_task=100, most_local=50).collect()}
+    assert len(set(zip(whole.values(), (parts[k] for k in whole)))) == len(set(whole.values())) == len(set(parts.values()))
+
+
 def test_splits_keep_groups_whole_and_shares_close(spark):
     rnd = random.Random(1)
     rows = [(str(i), f"g{rnd.randrange(400)}", "old") for i in range(3000)]
