@@ -1,13 +1,15 @@
-"""Text, date and array features as column expressions; whole texts, no row-at-a-time Python."""
+"""Text, date and array features over whole texts: column expressions, Arrow batches where patterns depend on the row."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import lexicons as X
 
 FLAGS = "(?iuU)"
-LINES = "(?imduU)"
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -207,47 +209,74 @@ def verb_types(context: Column, language: Column) -> dict[str, Column]:
     return out
 
 
-def dateline_tests(text: Column, locs: Column, region: int = 100) -> dict[str, Column]:
-    """Whether a place stands as a dateline: at the opening, the close or in the middle; and whether in prose too.
-
-    Patterns are built per mention, so they run only where the text contains
-    the mention at all.
-    """
-    date = X.DATE
-    opening = [rf"^[\s\n]*{{}}\s*[,.]\s*{date}{X.YEAR}", r"^[\s\n]*{}\s*\.\s"]
-    closing = [rf"{{}}\s*[,.]\s*(?:den\s+|le\s+)?{date}{X.YEAR}[\s.]*$", rf"\n\s*{{}}\s*[,.]\s*{date}{X.YEAR}[\s.]*$", rf"{date}{X.YEAR}\s*[,.]\s*{{}}[\s.]*$"]
-    middle = [rf"(?:\n\s*|\.\s+){{}}\s*[,.]\s*(?:Am\s+|Le\s+|On\s+)?{date}", r"(?:\n\s*|\.\s+){}\s*\.\s+[A-ZÄÖÜÉÈÀÂÔÛÇŞ]", r"(?<!\A)\n\s*{}\s*\.\s*\n"]
+def _dateline_patterns() -> dict[str, re.Pattern]:
+    """What stands right of a place in each pattern of the lexicon; what stands left of it is white space, told by ``_left``."""
+    right = lambda p: re.compile(p.split("{}", 1)[1] if "{}" in p else p, re.IGNORECASE | re.MULTILINE)
+    names = ("open_date", "open_stop", "close", "close_line", "end", "mid_date", "mid_stop", "mid_line")
+    return dict(zip(names, map(right, [*X.OPENING_DATELINES, *X.CLOSING_DATELINES, *X.MIDDLE_DATELINES]))) | {"date": re.compile(X.CLOSING_DATELINES[2].split("{}")[0] + r"\Z", re.IGNORECASE)}
 
-    low = F.lower(text)
-    #: a dateline's mention stands before or after a comma or full stop: a cheap test that spares most patterns
-    left, right = F.regexp_replace(low, r"\s+([,.])", "$1"), F.regexp_replace(low, r"([,.])\s+", "$1")
 
-    def beside(m):
-        q = F.lower(m)
-        return F.contains(left, F.concat(q, F.lit(","))) | F.contains(left, F.concat(q, F.lit("."))) | F.contains(right, F.concat(F.lit(","), q)) | F.contains(right, F.concat(F.lit("."), q))
+def dateline_hits(text: str, place: str, patterns: dict[str, re.Pattern]) -> tuple[bool, bool, bool]:
+    """Whether a place stands as an opening, closing or middle dateline anywhere in a text.
 
-    def found(patterns):
-        def test(m):
-            out = F.lit(False)
-            for p in patterns:
-                a, b = p.split("{}") if "{}" in p else p.split("{{}}")
-                out = out | F.regexp(text, F.concat(F.lit(LINES + a.replace("{{", "{").replace("}}", "}")), _quoted(m), F.lit(b.replace("{{", "{").replace("}}", "}"))))
-            return beside(m) & out
-
-        return F.coalesce(F.exists(locs, test), F.lit(False))
-
-    prose = text.substr(F.lit(region + 1), F.length(text) - 2 * region)
-    in_prose = F.coalesce((F.length(text) > 2 * region) & F.exists(locs, lambda q: F.contains(prose, q)), F.lit(False))
-    return {"opening": found(opening), "closing": found(closing), "middle": found(middle), "in_prose": in_prose}
+    Each occurrence is tested by what stands beside it: constant patterns, and
+    a search for a date only in the stretch before a comma or full stop.
+    """
+    opening = closing = middle = False
+    for m in re.finditer(re.escape(place), text, re.IGNORECASE):
+        i, j = m.span()
+        k = len(text[:i].rstrip())
+        gap, r = text[k:i], lambda name: patterns[name].match(text, j)  # noqa: B023
+        begins, lined = k == 0 or "\n" in gap, "\n" in gap
+        stopped = bool(gap) and text[k - 1 : k] == "."
+        opening = opening or begins and bool(r("open_date") or r("open_stop"))
+        closing = closing or bool(r("close") or lined and r("close_line"))
+        if not closing and text[k - 1 : k] in (",", ".") and k and r("end"):
+            closing = bool(patterns["date"].search(text[max(0, k - 200) : i]))
+        middle = middle or (lined or stopped) and bool(r("mid_date") or r("mid_stop")) or "\n" in text[max(k, 1) : i] and bool(r("mid_line"))
+    return opening, closing, middle
 
 
 def datelines(df: DataFrame, text: str, locs: str, region: int = 100) -> DataFrame:
-    """df with the five dateline features. The patterns run once each; the features only combine their outcomes."""
-    tests = dateline_tests(F.col(text), F.col(locs), region)
-    t = df.withColumns({f"_{k}": c for k, c in tests.items()})
-    o, c, m = F.col("_opening"), F.col("_closing"), F.col("_middle")
-    out = {"location_is_dateline": flag(o | c | m), "location_is_opening_dateline": flag(o), "location_is_closing_dateline": flag(c), "location_is_mid_dateline": flag(m), "location_dateline_only": flag((o | c | m) & ~F.col("_in_prose"))}
-    return t.withColumns(out).drop(*[f"_{k}" for k in tests])
+    """df with the five dateline features: Arrow batches, as patterns that depend on each mention are slow in the JVM."""
+
+    @F.pandas_udf("opening boolean, closing boolean, middle boolean, prose boolean")
+    def tests(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        patterns = _dateline_patterns()
+        out, low, last = [], "", None
+        for t, ps in zip(texts, places):
+            if t is None or ps is None:
+                out.append((False, False, False, False))
+                continue
+            if t != last:  # the pairs of one article stand together
+                low, last, known = t.lower(), t, {}
+            for p in ps:
+                if p and p not in known:
+                    known[p] = dateline_hits(t, p, patterns) if p.lower() in low else (False, False, False)
+            prose = t[region : len(t) - region] if len(t) > 2 * region else ""
+            hits = [known[p] for p in ps if p]
+            out.append((*(any(h[i] for h in hits) for i in range(3)), bool(prose) and any(p is not None and p in prose for p in ps)))
+        return pd.DataFrame(out, columns=["opening", "closing", "middle", "prose"])
+
+    o, c, m, p = (F.col(f"_tests.{x}") for x in ("opening", "closing", "middle", "prose"))
+    out = {"location_is_dateline": flag(o | c | m), "location_is_opening_dateline": flag(o), "location_is_closing_dateline": flag(c), "location_is_mid_dateline": flag(m), "location_dateline_only": flag((o | c | m) & ~p)}
+    return df.withColumn("_tests", tests(F.col(text), F.col(locs))).withColumns(out).drop("_tests")
+
+
+def in_quotes(context: Column, pers: Column, locs: Column) -> Column:
+    """1.0 if an entity's first occurrence lies in a quoted span: match offsets, so Arrow batches."""
+
+    @F.pandas_udf("double")
+    def work(texts: pd.Series, persons: pd.Series, places: pd.Series) -> pd.Series:
+        pattern = re.compile(X.QUOTED, re.DOTALL)
+        out = []
+        for c, p, q in zip(texts, persons, places):
+            spans = [m.span() for m in pattern.finditer(c)] if c else []
+            at = [c.find(m) for x in (p, q) if x is not None for m in x] if spans else []
+            out.append(float(any(a <= i <= z for i in at if i >= 0 for a, z in spans)))
+        return pd.Series(out, dtype="float64")
+
+    return work(context, pers, locs)
 
 
 def span_near_edge(text: Column, span: Column, region: int = 100) -> Column:

@@ -45,3 +45,9 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
 
     x, y = salted(left, one, many, "_s", "_t"), salted(right, many, one, "_t", "_s")
     return x.join(y.hint("merge"), [*on, "_s", "_t"], how).drop("_s", "_t")
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A side for a join: broadcast if it has at most ``most`` rows (which are then computed once, here), else left to sorted runs."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df.hint("merge")

@@ -2,14 +2,17 @@
 
 A vote array holds one label per model in a fixed order. All rules are column
 expressions, so an ensemble is part of one plan; lookup tables have at most
-(labels to the power of models) rows and are broadcast for that reason.
+(labels to the power of models) rows where labels are what they should be, and
+are broadcast where a count shows it (``skew.small``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import kept
 from .labels import AT, ORDINAL
+from .skew import small
 
 
 def count_of(votes: Column, label) -> Column:
@@ -130,15 +133,15 @@ def fallback(votes: Column, how: str = "majority", label: str = "FALSE") -> Colu
 
 
 def apply_lookup(df: DataFrame, lookup: DataFrame, votes: str, how: str = "majority", out: str = "stacked") -> DataFrame:
-    """df with the looked-up label and whether the cell was seen. The lookup has at most 3^K rows."""
-    table = F.broadcast(lookup.select(votes, F.col("label").alias("_label")))
+    """df with the looked-up label and whether the cell was seen."""
+    table = small(lookup.select(votes, F.col("label").alias("_label")))
     return df.join(table, votes, "left").withColumn("seen", F.col("_label").isNotNull()).withColumn(out, F.coalesce("_label", fallback(F.col(votes), how))).drop("_label")
 
 
 def leave_one_out(df: DataFrame, votes: str, gold: str, tie: str = "ordinal_median", how: str = "majority", out: str = "stacked") -> DataFrame:
     """The lookup's answer for each row as if the row hadn't been counted: cell counts minus the row's own."""
     c = cells(df, votes, gold).groupBy(votes).agg(F.collect_list(F.struct(F.col(gold).alias("g"), F.col("n").alias("n"))).alias("_all"))
-    joined = df.join(F.broadcast(c), votes, "left")
+    joined = df.join(small(c), votes, "left")
     own = F.filter(F.transform(F.coalesce("_all", F.array().cast("array<struct<g:string,n:bigint>>")), lambda x: F.struct(x["g"].alias("g"), (x["n"] - F.coalesce((x["g"] == F.col(gold)).cast("bigint"), F.lit(0).cast("bigint"))).alias("n"))), lambda x: x["n"] > 0)
     joined = joined.withColumn("_own", own).withColumn("_top", F.array_max(F.transform("_own", lambda x: x["n"])))
     tied = F.transform(F.filter("_own", lambda x: x["n"] == F.col("_top")), lambda x: x["g"])
@@ -153,30 +156,51 @@ def binary_ambiguity(p: Column) -> Column:
     return (term(p) + term(q)) / F.ln(F.lit(2.0)) * (1 - F.abs(p - q))
 
 
-def top_share(df: DataFrame, score: str, share: float, keys: list[str], ascending: bool = False, buckets: int = 200, out: str = "routed") -> DataFrame:
-    """df with whether a row is among the round(share * n) rows of highest (or lowest) score; ties by key, unknown scores last.
+def _kth(rows: DataFrame, k: int, n: int, most_local: int, splits: int):
+    """The k-th smallest value (from 1) of the struct column ``r`` over n rows, in rounds of counts.
 
-    The rank is global, so it is found without one sorted partition of all
-    rows: scores are counted in quantile buckets, whole buckets are decided by
-    their counts, and only the bucket that holds the border is ranked.
+    A round counts the rows between sampled values and keeps the stretch that
+    holds the k-th; ties of a score are parted by the keys that follow it in
+    the struct. What is left at the end (at most ``most_local`` rows) is ranked.
     """
-    from pyspark.ml.feature import Bucketizer
+    fields = rows.schema["r"].dataType.fields
+
+    def literal(v):
+        return F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(v, fields)])
+
+    while n > most_local:
+        share = min(1.0, 20 * splits / n)
+        some = sorted((r.r for r in rows.where(F.rand(7) < share).select("r").collect()), key=lambda v: tuple((x is not None, x) for x in v))
+        marks = list(dict.fromkeys(tuple(v) for v in some[:: max(1, len(some) // splits)]))
+        place = F.size(F.filter(F.array(*[literal(m) for m in marks]), lambda m: m < F.col("r")))
+        counts = {r[0]: r[1] for r in rows.groupBy(place.alias("p")).count().collect()}  # at most ``splits`` rows
+        for p in sorted(counts):
+            if k <= counts[p]:
+                break
+            k -= counts[p]
+        if counts[p] == n:  # nothing parts them: all rows are equal
+            break
+        bounds = [F.col("r") > literal(marks[p - 1])] if p else []
+        bounds += [F.col("r") <= literal(marks[p])] if p < len(marks) else []
+        for b in bounds:
+            rows = rows.where(b)
+        n = counts[p]
+    w = Window.orderBy("r")
+    return literal(rows.withColumn("i", F.row_number().over(w)).where(F.col("i") == k).first().r)
 
-    t = df.withColumn("_s", (-F.col(score) if ascending else F.col(score)).cast("double"))
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    n, edges = t.agg(F.count("*"), F.percentile_approx("_s", steps, 10_000)).first()
+
+def top_share(df: DataFrame, score: str, share: float, keys: list[str], ascending: bool = False, out: str = "routed", most_local: int = 200_000, splits: int = 200) -> DataFrame:
+    """df with whether a row is among the round(share * n) rows of highest (or lowest) score; ties by key, unknown scores last.
+
+    The rank is global, but no task sorts all rows or all ties: the last row
+    inside is found by counts (``_kth``) over a slim table of scores and keys,
+    and every row is compared with it.
+    """
+    value = F.col(score).cast("double")
+    value = F.when(value.isNull() | F.isnan(value), F.lit(float("inf"))).otherwise(value if ascending else -value)
+    rank = F.struct(value.alias("s"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    slim = kept(df.select(rank.alias("r")))
+    n = slim.count()
     k = int(round(share * n))
-    marks = [float("-inf"), *sorted(set(edges or [])), float("inf")]
-    t = Bucketizer(splits=marks if len(marks) > 2 else [float("-inf"), 0.0, float("inf")], inputCol="_s", outputCol="_bucket", handleInvalid="keep").transform(t)
-    t = t.withColumn("_bucket", F.when(F.col("_s").isNull(), -1).otherwise(F.col("_bucket")).cast("int"))
-    counts = {r[0]: r[1] for r in t.groupBy("_bucket").count().collect()}  # one row per bucket
-    border, above = -1, 0
-    for b in sorted(counts, reverse=True):
-        if above + counts[b] >= k:
-            border = b
-            break
-        above += counts[b]
-    w = Window.partitionBy("_bucket").orderBy(F.col("_s").desc_nulls_last(), *keys)
-    inside = t.where(F.col("_bucket") == border).withColumn(out, F.row_number().over(w) <= k - above)
-    rest = t.where(F.col("_bucket") != border).withColumn(out, F.col("_bucket") > border)
-    return rest.unionByName(inside).drop("_bucket", "_s")
+    inside = F.lit(k > 0) if k <= 0 or k >= n else rank <= _kth(slim, k, n, most_local, splits)
+    return df.withColumn(out, inside)

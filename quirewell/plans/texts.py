@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import parse as P, text as T
+from ..functions import lexicons as X, parse as P, text as T
 from ..operators import rules as R
 from ..session import table
 from .common import PRED, predictions
@@ -189,9 +189,6 @@ def f13_handcrafted(spark: SparkSession, d: str) -> DataFrame:
 # ---- evidence
 
 
-HEDGE = ["reportedly", "allegedly", "possibly", "perhaps", "apparently", "vraisemblablement", "probablement", "sans doute", "peut-être", "paraît-il", "semble-t-il", "on dit que", "il paraît", "angeblich", "vermutlich", "offenbar", "möglicherweise", "wahrscheinlich", "vielleicht", "anscheinend", "wahrscheinlech", "vläicht", "eventuell", "vermeintlech", "offensichtlech", "scheinbar"]
-
-
 @query(f"""WITH {R_SQL}, g AS (SELECT sample_id, context, pers, locs, list_min(list_filter(flatten(list_transform(pers, lambda p: list_transform(locs, lambda q: CASE WHEN instr(context, p) > 0 AND instr(context, q) > 0 THEN greatest(0, abs(instr(context, p) - instr(context, q)) - CASE WHEN instr(context, p) < instr(context, q) THEN length(p) ELSE length(q) END) END))), lambda x: x IS NOT NULL)) AS gap FROM r)
 SELECT sample_id, round(coalesce(least(gap / 500.0, 1.0), 1.0), 6)::DOUBLE AS entity_char_distance, coalesce(CASE WHEN gap < 20 THEN 1.0 ELSE 0.0 END, 0.0)::DOUBLE AS entities_adjacent FROM g""")
 def f16a_proximity(spark: SparkSession, d: str) -> DataFrame:
@@ -200,10 +197,8 @@ def f16a_proximity(spark: SparkSession, d: str) -> DataFrame:
     return features(t, ["sample_id"], {"entity_char_distance": F.coalesce(F.least(gap / 500.0, F.lit(1.0)), F.lit(1.0)), "entities_adjacent": T.flag(gap < 20)})
 
 
-@query("SELECT DISTINCT sample_id, " + " + ".join(f"CASE WHEN contains(lower(coalesce(context,'')), '{h}') THEN 1 ELSE 0 END" for h in HEDGE) + " AS n_hedges, (" + " OR ".join(f"contains(lower(coalesce(context,'')), '{w.lower()}')" for w in ("would", "might", "could", "may have", "should have", "aurait", "pourrait", "serait", "eût", "fût", "dürfte", "könnte", "würde", "hätte", "wäre", "géif", "kéint", "sollt", "hätt", "wier", "géing")) + ") AS subjunctive FROM relation_instance")
+@query("SELECT DISTINCT sample_id, " + " + ".join(f"CASE WHEN contains(lower(coalesce(context,'')), '{h}') THEN 1 ELSE 0 END" for h in X.HEDGES) + " AS n_hedges, (" + " OR ".join(f"contains(lower(coalesce(context,'')), '{w.lower()}')" for w in ("would", "might", "could", "may have", "should have", "aurait", "pourrait", "serait", "eût", "fût", "dürfte", "könnte", "würde", "hätte", "wäre", "géif", "kéint", "sollt", "hätt", "wier", "géing")) + ") AS subjunctive FROM relation_instance")
 def f16c_lexicon_flags(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions import lexicons as X
-
     c = F.coalesce("context", F.lit(""))
     return table(spark, d, "relation_instance").select("sample_id", T.count_hits(c, X.HEDGES).alias("n_hedges"), T.contains_any(c, X.SUBJUNCTIVE).alias("subjunctive")).distinct()
 
@@ -221,8 +216,6 @@ def f16e_counts(spark: SparkSession, d: str) -> DataFrame:
 def f16_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The 13 evidence features over whole articles; no SQL for its dynamic patterns, tested on fixtures."""
     t = with_text(spark, d)
-    from ..functions import lexicons as X
-
     c, x, p, q = F.coalesce("context", F.lit("")), F.coalesce("text", F.lit("")), F.col("pers"), F.col("locs")
     t = t.withColumn("more", T.expanded(c, p, F.lower(F.coalesce("language", F.lit("en")))))
     gap = T.char_gap(c, p, q)
@@ -233,28 +226,7 @@ def f16_evidence(spark: SparkSession, d: str) -> DataFrame:
         "has_subjunctive": T.flag(T.contains_any(c, X.SUBJUNCTIVE)), "person_mention_count": F.least(T.total_count(x, F.col("more")) / 10.0, F.lit(1.0)), "location_mention_count": F.least(T.total_count(x, q) / 10.0, F.lit(1.0)),
         "cooccurrence_sentences": F.least(T.sentences_with_both(x, F.col("more"), q) / 5.0, F.lit(1.0)), "n_competing_locations": F.least(T.competing_places(x, q) / 10.0, F.lit(1.0)),
     }
-    return features(t, ["sample_id"], cols).join(quote_flags(t), "sample_id")
-
-
-def quote_flags(t: DataFrame) -> DataFrame:
-    """Whether an entity's first occurrence lies in a quoted span: match offsets, so Arrow batches."""
-    import re
-
-    import pandas as pd
-
-    from ..functions import lexicons as X
-
-    def work(batches):
-        pattern = re.compile(X.QUOTED, re.DOTALL)
-        for b in batches:
-            out = []
-            for c, p, q in zip(b["context"], b["pers"], b["locs"]):
-                spans = [m.span() for m in pattern.finditer(c)] if c else []
-                places = [c.find(m) for m in [*p, *q]] if c else []
-                out.append(float(any(a <= i <= z for i in places if i >= 0 for a, z in spans)))
-            yield pd.DataFrame({"sample_id": b["sample_id"], "entity_in_quotes": out})
-
-    return t.select("sample_id", "context", "pers", "locs").mapInPandas(work, "sample_id string, entity_in_quotes double")
+    return features(t, ["sample_id"], cols | {"entity_in_quotes": T.in_quotes(F.col("context"), p, q)})
 
 
 def _verbs_sql() -> str:

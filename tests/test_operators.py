@@ -90,7 +90,13 @@ def test_top_share_ranks_globally(spark):
     rows = [(i, rnd.choice([0.1, 0.2, 0.5, None, rnd.random()])) for i in range(400)]
     df = frame(spark, rows, "k int, s double")
     want = {k for k, _ in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:80]}
-    assert {r.k for r in V.top_share(df, "s", 0.2, ["k"]).where("routed").collect()} == want
+    for most in (1000, 30):  # the second finds the border by counts between samples
+        assert {r.k for r in V.top_share(df, "s", 0.2, ["k"], most_local=most, splits=7).where("routed").collect()} == want
+    tied = frame(spark, [(i, 0.5) for i in range(300)], "k int, s double")
+    assert {r.k for r in V.top_share(tied, "s", 0.5, ["k"], most_local=20, splits=5).where("routed").collect()} == set(range(150))
+    same = frame(spark, [(1, 0.5)] * 50, "k int, s double")
+    assert V.top_share(same, "s", 0.5, ["k"], most_local=5).where("routed").count() == 50  # equal rows can't be parted
+    assert V.top_share(df.where("false"), "s", 0.5, ["k"]).count() == 0
 
 
 def test_disagreement_of_unanimous_votes(spark):
@@ -239,9 +245,11 @@ def test_retrieval_equals_brute_force(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     got = {}
-    for r in retrieval.fetched(df.where("id < 10"), df.repartition(4), "id", "v", 5).collect():
-        got.setdefault(r.q_id, {})[r["rank"]] = r.id
-    assert all([got[i][k + 1] for k in range(5)] == np.argsort(-s[i])[:5].tolist() for i in range(10))
+    for most in (1 << 20, 300):  # broadcast, and blocks of both sides
+        got = {}
+        for r in retrieval.fetched(df.where("id < 10"), df.repartition(4), "id", "v", 5, most_bytes=most).collect():
+            got.setdefault(r.q_id, {})[r["rank"]] = r.id
+        assert all([got[i][k + 1] for k in range(5)] == np.argsort(-s[i])[:5].tolist() for i in range(10))
 
 
 def test_spectral_map_separates_blobs(spark):
@@ -324,5 +332,5 @@ def test_every_vector_has_a_subtype_and_all_components_count(spark):
         values.append((other - own) / max(own, other) if same > 1 else 0.0)
     assert abs(QUERIES["m20_silhouette"](spark, SF).first()[0] - np.mean(values)) < 1e-4
     few = e.where("vec_id < 60")
-    sets = [{(r.q_id, r.vec_id, r["rank"]) for r in nearest_of_all(few, "vec_id", "embedding", 3, n).collect()} for n in (1000, 20)]
+    sets = [{(r.q_id, r.vec_id, r["rank"]) for r in nearest_of_all(few, "vec_id", "embedding", 3, n).collect()} for n in (1 << 20, 9000)]
     assert sets[0] == sets[1] and len(sets[0]) == 3 * few.count()
