@@ -52,6 +52,19 @@ def evaluate(df: DataFrame, patterns: list[Pattern], positive: Column) -> DataFr
     return t.select("pattern_id", "support", "support_pos", ratio(F.col("support_pos"), F.col("support")).alias("precision"), ratio(F.col("support_pos"), F.col("n_pos")).alias("recall"), F.round(nwracc(F.col("support"), F.col("support_pos"), F.col("n"), F.col("n_pos")), 6).alias("nwracc"))
 
 
+def gated(evaluated: DataFrame, least_nwracc: float = 0.0, least_precision: float = 0.0, least_support: int = 1) -> DataFrame:
+    """The rows of ``evaluate`` that pass the quality gates."""
+    return evaluated.where((F.col("nwracc") >= least_nwracc) & (F.col("precision") >= least_precision) & (F.col("support") >= least_support))
+
+
+def overridden(df: DataFrame, label: str, history: str, hit: Column, to: str, **about: str) -> DataFrame:
+    """df with ``label`` set to ``to`` where ``hit``, and the change appended to what ``history`` (array<struct>, may be null) holds already."""
+    change = F.struct(F.col(label).alias("from"), F.lit(to).alias("to"), *[F.lit(v).alias(k) for k, v in about.items()])
+    before = F.coalesce(history, F.array().cast(df.schema[history].dataType))
+    changes = F.coalesce(hit, F.lit(False)) & (F.col(label) != to)
+    return df.withColumns({history: F.when(changes, F.array_append(before, change)).otherwise(before), label: F.when(changes, F.lit(to)).otherwise(F.col(label))})
+
+
 def close_on_positive(df: DataFrame, pattern: Pattern, features: list[str], positive: Column) -> DataFrame:
     """feature, lo, hi: the tightest intervals around the positives inside the pattern."""
     inside = df.where(matches(pattern) & F.coalesce(positive, F.lit(False)))
@@ -164,6 +177,70 @@ def _closed_boxes(df: DataFrame, features: list[str], patterns: list[Pattern]) -
     return [{f: bounds if one[f"lo_{i}_{f}"] is None else (one[f"lo_{i}_{f}"], one[f"hi_{i}_{f}"]) for f, bounds in p.items()} for i, p in enumerate(patterns)]
 
 
+def overlaps(df: DataFrame, patterns: list[Pattern]) -> np.ndarray:
+    """How alike the extents of the patterns are over all rows (Jaccard), from counts in one aggregation; no extent leaves its rows."""
+    n = len(patterns)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    one = df.agg(*[F.count_if(matches(patterns[i]) & matches(patterns[j])).alias(f"c{i}_{j}") for i, j in pairs]).first() if n else {}
+    both = np.zeros((n, n))
+    for i, j in pairs:
+        both[i, j] = both[j, i] = one[f"c{i}_{j}"]
+    union = both.diagonal()[:, None] + both.diagonal()[None, :] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
+def fold_stability(df: DataFrame, features: list[str], positive: str, key: str, folds: int = 5, least_precision: float = 0.3, least_folds: int = 3, alike: float = 0.5, **options) -> tuple[DataFrame, DataFrame]:
+    """(stable descriptions, stable clusters) of boxes found in each of ``folds`` training parts.
+
+    Boxes are found without a fold and evaluated on it. A description is
+    stable if it passes ``least_precision`` on ``least_folds`` folds; a cluster
+    of boxes whose extents over all rows are ``alike`` is stable if its members
+    pass on that many. A box stands for one row of the driver: chains times
+    folds at most.
+    """
+    from .sampling import stratified_folds
+
+    spark = df.sparkSession
+    t = stratified_folds(df.withColumn("_y", F.coalesce(F.col(positive), F.lit(False)).cast("string")), key, ["_y"], folds)
+    found: list[tuple] = []  # fold, pattern, nwracc in training, precision, recall held out
+    for fold in range(folds):
+        boxes = discover(t.where(F.col("fold") != fold), features, positive, seed=42 + fold, **options).collect()
+        patterns, seen = [], set()
+        for b in sorted(boxes, key=lambda b: -b.nwracc):
+            p = {f: (lo, hi) for f, lo, hi, on in zip(features, b.lo, b.hi, b.active) if on}
+            if describe(p) not in seen:
+                seen.add(describe(p))
+                patterns.append((p, b.nwracc))
+        held = {r.pattern_id: r for r in evaluate(t.where(F.col("fold") == fold), [p for p, _ in patterns], F.col(positive)).collect()} if patterns else {}
+        found += [(fold, p, score, held[i].precision, held[i].recall) for i, (p, score) in enumerate(patterns)]
+    mean = lambda rows, i: round(float(np.mean([r[i] for r in rows])), 6)
+    named: dict[str, list] = {}
+    for r in found:
+        named.setdefault(describe(r[1]), []).append(r)
+    strings = [(name, n, len(rows), mean(rows, 3), mean(rows, 4)) for name, rows in named.items() if (n := sum(r[3] >= least_precision for r in rows)) >= least_folds]
+    near = overlaps(df, [r[1] for r in found])
+    firsts: list[int] = []
+    members: dict[int, list[int]] = {}
+    for i in range(len(found)):
+        lead = next((c for c in firsts if near[i, c] >= alike), i)
+        if lead == i:
+            firsts.append(i)
+        members.setdefault(lead, []).append(i)
+    clusters = []
+    for ids in members.values():
+        rows = [found[i] for i in ids]
+        good = {r[0] for r in rows if r[3] >= least_precision}
+        if len(good) >= least_folds:
+            best = max(rows, key=lambda r: r[3])
+            clusters.append((describe(best[1]), len(rows), len({r[0] for r in rows}), len(good), mean(rows, 3), mean(rows, 4), mean(rows, 2)))
+    strings.sort(key=lambda r: (-r[1], -r[3], r[0]))
+    clusters.sort(key=lambda r: (-r[3], -r[4], r[0]))
+    return (
+        spark.createDataFrame(strings, "pattern string, folds_stable int, folds_seen int, precision double, recall double"),
+        spark.createDataFrame(clusters, "representative string, members int, folds_seen int, folds_stable int, precision double, recall double, nwracc double"),
+    )
+
+
 def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 

@@ -10,6 +10,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import kept
 from . import metrics, votes as V
 from .labels import AT
 from .sampling import class_weights, stratified_folds
@@ -49,7 +50,7 @@ def predicted(model, df: DataFrame, label: str, out: str = "predicted") -> DataF
 
 def out_of_fold(df: DataFrame, key: str, label: str, make, folds: int = 5) -> DataFrame:
     """Predictions of each row by a model that hasn't seen its fold."""
-    t = stratified_folds(df, key, [label], folds).persist()
+    t = kept(stratified_folds(df, key, [label], folds))
     out = None
     for k in range(folds):
         model = make().fit(weighted(t.where(F.col("fold") != k), label))
@@ -58,6 +59,17 @@ def out_of_fold(df: DataFrame, key: str, label: str, make, folds: int = 5) -> Da
     return out
 
 
+def grid(df: DataFrame, key: str, label: str, sets: dict[str, list[str]], makes: dict, labels: tuple[str, ...], folds: int = 5) -> DataFrame:
+    """feature_set, model, macro_recall: every model over every set of features, by predictions out of fold."""
+    out = None
+    for name, features in sets.items():
+        for model, make in makes.items():
+            p = out_of_fold(df, key, label, lambda f=features, m=make: m(f, label), folds)
+            one = metrics.macro_recall(p.withColumns({"feature_set": F.lit(name), "model": F.lit(model)}), label, "predicted", labels, ["feature_set", "model"])
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def greedy_selection(df: DataFrame, models: list[str], gold: str, key: str, most: int = 4, folds: int = 5, gain: float = 1e-6) -> list[tuple[list[str], float]]:
     """Forward selection of voters for the lookup stacker by inner cross-validation: (chosen so far, mean macro recall) per step.
 
@@ -102,7 +114,8 @@ def greedy_selection(df: DataFrame, models: list[str], gold: str, key: str, most
 
 def nested_cv(df: DataFrame, models: list[str], gold: str, key: str, folds: int = 5, most: int = 4) -> DataFrame:
     """fold, chosen, macro_recall: outer folds, each with its own greedy selection on the rest."""
-    t = stratified_folds(df.where(F.col(gold).isNotNull()), key, [gold], folds).withColumnRenamed("fold", "outer").persist()
+    t = stratified_folds(df.where(F.col(gold).isNotNull()), key, [gold], folds).withColumnRenamed("fold", "outer")
+    t = kept(t)
     out = None
     for k in range(folds):
         rest, held = t.where(F.col("outer") != k), t.where(F.col("outer") == k)

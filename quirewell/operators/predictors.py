@@ -16,8 +16,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import parse as P
-from . import rules as R
+from ..functions import parse as P, prompts as M
+from ..session import kept
+from . import metrics, rules as R
+from .labels import AT, IS_AT
 
 
 class Client(Protocol):
@@ -80,22 +82,48 @@ def consistent(df: DataFrame, keys: list[str], raw: str = "raw_output") -> DataF
 def agentic(df: DataFrame, keys: list[str], prompt: str, classifier: Client, justifier: Client, stronger: Client) -> DataFrame:
     """Classify, justify, validate; what is flagged is classified again by a stronger model and then accepted as it is.
 
-    Stages are DataFrames: the escalated subset is a filter, the result a union.
+    The justifier gets a message about the classification, the stronger model
+    the first message with what was found and flagged; ``df`` may hold person,
+    place, date, language and text for them. Stages are DataFrames: the
+    escalated subset is a filter, the result a union.
     """
-    first = answered(df, prompt, classifier, "answer").withColumn("c", P.combined(F.col("answer"))).drop("sample", "latency_ms", "answer")
+    given = lambda t, c: F.col(c) if c in t.columns else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    first = answered(df, prompt, classifier, "answer").withColumns({"c": P.combined(F.col("answer")), "why": P.reasoning(F.col("answer"))}).drop("sample", "latency_ms", "answer")
 
     def judged(t: DataFrame) -> DataFrame:
-        j = answered(t, prompt, justifier, "just").withColumn("j", P.parsed_justification(F.col("just"))).drop("sample", "latency_ms", "just")
-        v = R.checks(F.col("c.at"), F.col("c.isAt"), F.col("c.conf_at"), F.col("c.conf_isAt"), F.lit(""), F.col("j.strength"), F.col("j.flags"), F.col("j.supports"), F.col("j.within_window"))
+        message = M.justification(given(t, "person"), given(t, "place"), F.col("c.at"), F.col("c.isAt"), F.col("c.conf_at"), F.col("c.conf_isAt"), F.col("why"), given(t, "date"), given(t, "language"), F.coalesce(given(t, "text"), F.col(prompt)), M.facts(), M.facts(), none)
+        j = answered(t.withColumn("ask", message), "ask", justifier, "just").withColumn("j", P.parsed_justification(F.col("just"))).drop("sample", "latency_ms", "just", "ask")
+        v = R.checks(F.col("c.at"), F.col("c.isAt"), F.col("c.conf_at"), F.col("c.conf_isAt"), F.coalesce("why", F.lit("")), F.col("j.strength"), F.col("j.flags"), F.col("j.supports"), F.col("j.within_window"))
         return j.withColumn("v", v)
 
     once = judged(first)
     calm = once.where(~F.col("v.escalate")).withColumn("escalated", F.lit(False))
-    again = answered(once.where("v.escalate").drop("c", "j", "v"), prompt, stronger, "answer").withColumn("c", P.combined(F.col("answer"))).drop("sample", "latency_ms", "answer")
+    more = M.escalation(F.col("c.at"), F.col("c.isAt"), F.col("c.conf_at"), F.col("c.conf_isAt"), F.col("why"), F.col("j.status") != "fail", F.col("j.strength"), F.col("j.flags"), F.col("j.narrative"), F.col("v.reason"))
+    told = once.where("v.escalate").withColumn("ask", F.concat_ws("\n\n", prompt, more)).drop("c", "j", "v", "why")
+    again = answered(told, "ask", stronger, "answer").withColumns({"c": P.combined(F.col("answer")), "why": P.reasoning(F.col("answer"))}).drop("sample", "latency_ms", "answer", "ask")
     both = calm.unionByName(judged(again).withColumn("escalated", F.lit(True)))
     return both.select(*keys, F.coalesce("c.at", F.lit("FALSE")).alias("at"), F.when(F.coalesce("c.at", F.lit("FALSE")) == "FALSE", "FALSE").otherwise(F.coalesce("c.isAt", F.lit("FALSE"))).alias("isAt"), "escalated", F.col("v.hard").alias("hard"), F.col("v.soft").alias("soft"))
 
 
+def experiment(df: DataFrame, name: str, predict: Callable[[DataFrame], DataFrame], gold: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(predictions, report) of a run: ``predict`` maps instances to at_predicted, isAt_predicted and latency_ms.
+
+    The report holds, per target, rows and macro recall, and the run's mean
+    latency; a prediction that is missing counts as FALSE. The run is computed
+    once and kept, so a client is never asked twice.
+    """
+    done = kept(predict(df).withColumn("experiment", F.lit(name)))
+    rows = None
+    for target, column in gold.items():
+        labels = AT if target == "at" else IS_AT
+        t = done.withColumn("_p", F.coalesce(f"{target}_predicted", F.lit("FALSE"))).withColumn("target", F.lit(target))
+        one = metrics.macro_recall(t, column, "_p", labels, ["experiment", "target"])
+        rows = one if rows is None else rows.unionByName(one)
+    cost = done.groupBy("experiment").agg(F.avg("latency_ms").alias("latency_ms"))
+    return done, rows.join(cost, "experiment")
+
+
 def hashed_embedding(df: DataFrame, text: str, dim: int = 64, out: str = "embedding") -> DataFrame:
     """A stand-in encoder: normalised hashed word counts, all in the JVM."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: w != "")

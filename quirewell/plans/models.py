@@ -26,28 +26,6 @@ def query(sql: str | None = None):
     return keep
 
 
-FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-
-
-def items(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), *FEATURES, F.when(F.col("l_extendedprice") > 1000 * F.col("l_quantity"), "HIGH").otherwise("LOW").alias("label"))
-
-
-@query()
-def m08_logistic(spark: SparkSession, d: str) -> DataFrame:
-    """Balanced logistic regression on standardised features; accuracy by class on its own rows."""
-    t = items(spark, d)
-    p = ml.predicted(ml.logistic(FEATURES, "label").fit(ml.weighted(t, "label")), t, "label")
-    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 4).alias("recall"))
-
-
-@query()
-def m09_forest(spark: SparkSession, d: str) -> DataFrame:
-    t = items(spark, d)
-    p = ml.predicted(ml.forest(FEATURES, "label", trees=20).fit(ml.weighted(t, "label")), t, "label")
-    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 4).alias("recall"))
-
-
 @query()
 def m12_spectral(spark: SparkSession, d: str) -> DataFrame:
     """Eigenmap coordinates of every vector, from an eigenmap of a bounded sample."""
@@ -96,7 +74,8 @@ def v06_self_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def v04_agentic(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "relation_instance").dropDuplicates(["sample_id"]).select("sample_id", F.concat_ws(" ", "sample_id", "context").alias("prompt"))
+    first = lambda c: F.get(F.col(c), F.lit(0))
+    t = table(spark, d, "relation_instance").dropDuplicates(["sample_id"]).select("sample_id", F.concat_ws(" ", "sample_id", "context").alias("prompt"), first("pers_mentions_list").alias("person"), first("loc_mentions_list").alias("place"), "date", "language", F.col("context").alias("text"))
     return predictors.agentic(t, ["sample_id"], "prompt", predictors.HashClient("a"), predictors.HashClient("b"), predictors.HashClient("c"))
 
 
@@ -164,28 +143,6 @@ def r08_k_sweep(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("ql")).alias("same_label"))
 
 
-@query()
-def m10_perceptron(spark: SparkSession, d: str) -> DataFrame:
-    """Recall by class of a two-layer perceptron on its own rows."""
-    t = items(spark, d)
-    p = ml.predicted(ml.perceptron(FEATURES, "label", classes=2, hidden=(8, 4)).fit(t), t, "label")
-    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 4).alias("recall"))
-
-
-@query()
-def m11_projected_logistic(spark: SparkSession, d: str) -> DataFrame:
-    """The logistic regression on principal components of the standardised features."""
-    t = items(spark, d)
-    p = ml.predicted(ml.logistic(FEATURES, "label", pca=3).fit(ml.weighted(t, "label")), t, "label")
-    return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 4).alias("recall"))
-
-
-@query()
-def m17_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
-    """A prediction for every row by a model that hasn't seen its fold."""
-    return ml.out_of_fold(items(spark, d), "key", "label", lambda: ml.logistic(FEATURES, "label"), folds=3).select("key", "fold", "label", "predicted")
-
-
 @query()
 def m20_silhouette(spark: SparkSession, d: str) -> DataFrame:
     """How well the labels of the embeddings part them, over all components."""

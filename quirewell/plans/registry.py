@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ensembles, models, nested, scoring, texts
+from . import ensembles, matrices, models, nested, scoring, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +21,6 @@ QUERIES: dict[str, Query] = {
     **ensembles.QUERIES,
     **texts.QUERIES,
     **models.QUERIES,
+    **matrices.QUERIES,
 }
-ORACLE: dict[str, str] = {"p1_found": nested.P1_SQL, **nested.P1_TABLES_SQL, **nested.ARTICLE_SQL, **scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE, **models.ORACLE}
+ORACLE: dict[str, str] = {"p1_found": nested.P1_SQL, **nested.P1_TABLES_SQL, **nested.ARTICLE_SQL, **scoring.ORACLE, **ensembles.ORACLE, **texts.ORACLE, **models.ORACLE, **matrices.ORACLE}

@@ -176,16 +176,6 @@ def f12_temporal_vector(spark: SparkSession, d: str) -> DataFrame:
     return features(table(spark, d, "relation_instance"), ["sample_id"], {n: v[n] for n in names}).distinct()
 
 
-@query("""SELECT DISTINCT sample_id, CASE WHEN language = 'en' THEN 1.0 ELSE 0.0 END::DOUBLE AS lang_en, CASE WHEN language = 'fr' THEN 1.0 ELSE 0.0 END::DOUBLE AS lang_fr, CASE WHEN language = 'de' THEN 1.0 ELSE 0.0 END::DOUBLE AS lang_de, CASE WHEN language = 'lb' THEN 1.0 ELSE 0.0 END::DOUBLE AS lang_lb,
- CASE WHEN coalesce(pers_wikidata_QID,'') <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS has_pers_qid, coalesce(len(pers_mentions_list), 0)::DOUBLE AS n_pers_mentions, coalesce(len(loc_mentions_list), 0)::DOUBLE AS n_loc_mentions, coalesce(len(temporal_expressions), 0)::DOUBLE AS n_temporal_expressions, round(least(1.0, length(coalesce(context,'')) / 2000.0), 6)::DOUBLE AS context_len_chars_norm FROM relation_instance""")
-def f13_handcrafted(spark: SparkSession, d: str) -> DataFrame:
-    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
-    from ..functions.lexicons import LANGUAGES
-
-    cols = T.one_hot(F.col("language"), LANGUAGES, "lang_") | {"has_pers_qid": T.flag(F.coalesce("pers_wikidata_QID", F.lit("")) != ""), "n_pers_mentions": size("pers_mentions_list"), "n_loc_mentions": size("loc_mentions_list"), "n_temporal_expressions": size("temporal_expressions"), "context_len_chars_norm": F.least(F.lit(1.0), F.length(F.coalesce("context", F.lit(""))) / 2000.0)}
-    return features(table(spark, d, "relation_instance"), ["sample_id"], cols).distinct()
-
-
 # ---- evidence
 
 

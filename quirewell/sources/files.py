@@ -63,6 +63,18 @@ def read_configs(spark: SparkSession, folder: str, include: str = "*_predictions
     return t.join(F.broadcast(enough), "config", "left_semi")  # one row per file
 
 
+def read_submissions(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of every submission file of a folder with the file's name as ``run``; files of predictions are skipped."""
+    t = spark.read.schema(DOCUMENT_DDL).option("pathGlobFilter", "*.jsonl").json(folder)
+    t = t.withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1))
+    return t.where(~F.col("run").contains("predictions"))
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines, nulls written out, in as many files as there are partitions."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def read_reports(spark: SparkSession, folder: str, exclude: str = r"^compare_|_summary|\.bootstrap$") -> DataFrame:
     """experiment, metric, value: every number of every report file, whatever its nesting."""
     t = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(folder)

@@ -14,11 +14,16 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(want.fetchall(), want.columns)
 
 
+MAY_BE_EMPTY = {"g10_fold_stability"}  # nothing need be stable
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_sql(spark, name):
     df = QUERIES[name](spark, SF)
     assert len(df.columns) == len(set(df.columns))
-    assert df.count() >= 0
+    got = df.collect()
+    assert got or name in MAY_BE_EMPTY
+    assert all(any(v is not None for v in r) for r in got)
 
 
 def test_entry_point(spark):
