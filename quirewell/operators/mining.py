@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .sampling import by_hash
+
 Pattern = dict[str, tuple[float, float]]
 
 
@@ -97,7 +99,7 @@ def discover(df: DataFrame, features: list[str], positive: str, chains: int = 8,
     """
     spark = df.sparkSession
     every = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(positive).cast("boolean").alias("y")).dropna()
-    rows = every.orderBy(F.xxhash64(*features, "y")).limit(most_rows).toPandas()
+    rows = by_hash(every, [*features, "y"], most_rows).toPandas()
     x, y = rows[features].to_numpy(), rows["y"].to_numpy()
     shared = spark.sparkContext.broadcast((x, y))
 

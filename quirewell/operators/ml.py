@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import kept
 from . import metrics, votes as V
 from .labels import AT
-from .sampling import class_weights, stratified_folds
+from .sampling import by_hash, class_weights, stratified_folds
 
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
@@ -140,7 +140,7 @@ class SpectralMap:
         self.components, self.near, self.most = components, near, most
 
     def fit(self, df: DataFrame, vector: str, *order: str) -> SpectralMap:
-        rows = df.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(*(order or (vector,)))).limit(self.most).collect()
+        rows = by_hash(df.select(vector, *order).where(F.col(vector).isNotNull()), list(order or (vector,)), self.most).select(vector).collect()
         x = np.array([r[0] for r in rows], dtype=np.float64)
         n, k = len(x), min(self.near, len(x) - 1)
         d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0))

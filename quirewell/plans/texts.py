@@ -264,7 +264,13 @@ def f30_person_marker(spark: SparkSession, d: str) -> DataFrame:
     return t.select("sample_id", T.wrapped(F.coalesce("context", F.lit("")), F.col("pers"), "[E1]", "[/E1]")[0].alias("marked"))
 
 
-@query()
+_WRAP = lambda source, text, mentions, a, b, out: f"""(SELECT *, CASE WHEN z_{out} IS NULL THEN {text} ELSE substr({text}, 1, z_{out}.k - 1) || '{a} ' || substr({text}, z_{out}.k, -z_{out}.n) || ' {b}' || substr({text}, z_{out}.k - z_{out}.n) END AS {out} FROM (SELECT *, list_min(list_transform(list_filter({mentions}, lambda e: instr(lower({text}), lower(e)) > 0), lambda e: struct_pack(k := instr(lower({text}), lower(e)), n := -length(e)))) AS z_{out} FROM {source}))"""
+MARKED = f"""{R_SQL}, base AS (SELECT sample_id, pers, locs, date, coalesce(context,'') AS t FROM r), w AS (SELECT * FROM {_WRAP(_WRAP("base", "t", "pers", "[E1]", "[/E1]", "x"), "x", "locs", "[E2]", "[/E2]", "y")}),
+q AS (SELECT *, CASE WHEN z_x IS NULL AND len(pers) > 0 THEN '[E1] ' || pers[1] || ' [/E1]' END AS p1, CASE WHEN z_y IS NULL AND len(locs) > 0 THEN '[E2] ' || locs[1] || ' [/E2]' END AS p2 FROM w),
+m AS (SELECT *, CASE WHEN p2 IS NOT NULL THEN p2 || ' . ' ELSE '' END || CASE WHEN p1 IS NOT NULL THEN p1 || ' . ' ELSE '' END || y AS separate, CASE WHEN concat_ws(' ', p1, p2) <> '' THEN concat_ws(' ', p1, p2) || ' . ' || y ELSE y END AS joint, CASE WHEN coalesce(date, '') = '' THEN 'unknown' ELSE date END AS around FROM q)"""
+
+
+@query(f"WITH {MARKED} SELECT sample_id, separate, joint FROM m")
 def f30_markers(spark: SparkSession, d: str) -> DataFrame:
     """Both entities marked, with a separate and with a joint prefix for those that aren't in the context."""
     t = instances(spark, d).dropDuplicates(["sample_id"])
@@ -284,7 +290,8 @@ def f32_template_m1(spark: SparkSession, d: str) -> DataFrame:
     return t.select("sample_id", T.template("M1", F.col("context"), F.col("pers"), F.col("locs"), F.col("date")).alias("m1"))
 
 
-@query()
+@query(f"""WITH {MARKED} SELECT sample_id, separate || ' The relationship between [E1] and [E2] is [MASK] .' AS m2, 'Published: ' || around || ' . ' || separate || ' At this time, [E1] is [MASK] [E2] .' AS m3,
+separate || ' In general, [E1] is [MASK] associated with [E2] . Around ' || around || ', [E1] is [MASK] present at [E2] .' AS m4, separate || ' [E1] [MASK] [MASK] [MASK] [E2] .' AS m5 FROM m""")
 def f32_templates(spark: SparkSession, d: str) -> DataFrame:
     t = instances(spark, d).dropDuplicates(["sample_id"])
     return t.select("sample_id", *[T.template(m, F.col("context"), F.col("pers"), F.col("locs"), F.col("date")).alias(m.lower()) for m in ("M2", "M3", "M4", "M5")])
