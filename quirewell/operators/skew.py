@@ -23,6 +23,13 @@ def hot_buckets(df: DataFrame, on: list[str], per_task: int = 2_000_000, buckets
     return {r[0]: -(-r[1] // per_task) for r in counts.collect()}
 
 
+def hot_sides(df: DataFrame, on: list[str], left: str, right: str, per_task: int = 2_000_000, buckets: int = 16_384) -> tuple[dict[int, int], dict[int, int]]:
+    """``hot_buckets`` of the rows where ``left`` holds and of those where ``right`` holds, in one pass."""
+    b = F.pmod(F.xxhash64(*on), F.lit(buckets)).alias("b")
+    counts = df.groupBy(b).agg(F.count_if(left).alias("x"), F.count_if(right).alias("y")).where((F.col("x") > per_task) | (F.col("y") > per_task)).collect()
+    return tuple({r.b: -(-r[c] // per_task) for r in counts if r[c] > per_task} for c in ("x", "y"))
+
+
 def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", per_task: int = 2_000_000, buckets: int = 16_384, left_hot: dict[int, int] | None = None, right_hot: dict[int, int] | None = None) -> DataFrame:
     """``left.join(right, on, how)`` for ``how`` inner, left or left_semi, by sorted runs, hot keys split.
 

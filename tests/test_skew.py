@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quirewell.operators.skew import split_join
+from quirewell.operators.skew import hot_buckets, hot_sides, split_join
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
@@ -29,3 +29,9 @@ def test_no_task_holds_a_hot_key(spark):
     finally:
         out.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == n // 2 and max(sizes) < n // 2
+
+
+def test_hot_sides_are_counted_in_one_pass(spark):
+    df = spark.range(1000).selectExpr("if(id % 2 = 0, 7, id) as k", "id % 4 = 0 as a", "id % 4 <> 0 as b")
+    left, right = hot_sides(df, ["k"], "a", "b", per_task=100)
+    assert left == hot_buckets(df.where("a"), ["k"], 100) and right == hot_buckets(df.where("b"), ["k"], 100) and list(left.values()) == [3]
