@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from .fold import LOOKALIKE_FROM, LOOKALIKE_TO, PUNCTUATION_FROM, PUNCTUATION_TO
-
+#: Fixed values, apart from those of the operator: for each Latin letter the code points (Cyrillic, Greek, Armenian) that are drawn like it.
+DRAWN_LIKE = {
+    "A": "0410 0391", "B": "0412 0392", "C": "0421 03F9", "E": "0415 0395", "G": "050C", "H": "041D 0397", "I": "0406 04C0 0399", "J": "0408 037F", "K": "041A 039A", "M": "041C 039C", "N": "039D", "O": "041E 039F", "P": "0420 03A1", "Q": "051A", "S": "0405", "T": "0422 03A4", "W": "051C", "X": "0425 03A7", "Y": "04AE 03A5", "Z": "0396",
+    "a": "0430 03B1", "c": "0441 03F2", "d": "0501", "e": "0435", "h": "04BB 0570", "i": "0456", "j": "0458 03F3", "l": "04CF", "n": "0578", "o": "043E 03BF 0585", "p": "0440 03C1", "q": "051B", "s": "0455", "u": "057D", "v": "03BD", "w": "051D", "x": "0445", "y": "0443",
+    "-": "2010 2011", "/": "2044 2215",
+}
+_PAIRS = [(chr(int(code, 16)), letter) for letter, codes in DRAWN_LIKE.items() for code in codes.split()]
+LOOKALIKE_FROM, LOOKALIKE_TO = ("".join(p[i] for p in _PAIRS if p[1].isalpha()) for i in (0, 1))
+PUNCTUATION_FROM, PUNCTUATION_TO = ("".join(p[i] for p in _PAIRS if not p[1].isalpha()) for i in (0, 1))
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 NARROW = "".join(chr(ord(c) - 0xFEE0) for c in WIDE).replace("'", "''")
 SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))

@@ -51,7 +51,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.skew import split_join
+from ..operators.skew import hot_sides, split_join
 from ..session import cut, kept
 
 SHORT = 40  # where the shorter text of a pair has fewer than 28 words, the longer one has fewer than 40
@@ -186,7 +186,8 @@ def links(records: DataFrame, words: Callable[[str, str | None], list[str]], tra
     longer, spare = F.greatest("na", "nb"), F.col("na") + F.col("nb") - 2 * F.ceil(agree * F.greatest("na", "nb"))
     before, after = F.abs(F.col("pa") - F.col("pb")), F.abs((F.col("na") - F.col("pa")) - (F.col("nb") - F.col("pb")))
     fits = (F.least("na", "nb") >= agree * longer) & (before + after <= spare) & (F.col("a") != F.col("b"))
-    met = split_join(a, b, ["key", "short"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.bool_or("short").alias("short"))
+    left, right = hot_sides(rows, ["key", "short"], "eval", "train")
+    met = split_join(a, b, ["key", "short"], left_hot=left, right_hot=right).where(fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.bool_or("short").alias("short"))
     met = met.where("shared > 1 or short").select("a", "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -30,24 +30,29 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-@functools.cache
-def tokenizer(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
-    """The tokenizer of a rank file; the pattern comes with the vocabulary's folder."""
-    import tiktoken
-
+def read_vocabulary(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[str, bytes]:
+    """(pattern, rank file) of a tokenizer, read where the job is written; the pattern comes with the vocabulary's folder."""
     spec = importlib.util.spec_from_file_location("tokenizer_files", f"{folder}/__init__.py")
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
-    with open(f"{folder}/{vocabulary}", "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(f"{folder}/{vocabulary}", "rb") as f:
+        return module.PATTERN, f.read()
+
+
+@functools.lru_cache(4)
+def tokenizer(pattern: str, ranks: bytes):
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
 def measured(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """key, n_tokens of every row with a non-empty text."""
+    """key, n_tokens of every row with a non-empty text. The vocabulary (a file of a few MB) is sent along; executors need no folder."""
+    files = df.sparkSession.sparkContext.broadcast(read_vocabulary(folder, vocabulary))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(folder, vocabulary)
+        t = tokenizer(*files.value)
         for batch in batches:
             yield pd.DataFrame({"k": batch["k"], "n_tokens": [len(t.encode_ordinary(x)) for x in batch["t"]]})
 
@@ -90,8 +95,10 @@ def containers(sizes: DataFrame, key: str, capacity: int = 2048, per_shard: int
     """key, piece, token_start, token_end, container: every token of every row in a container.
 
     ``sizes`` holds key and n_tokens. A container is named by the shard that
-    made it; one that a second round filled further keeps a single name.
+    made it; one that a second round filled further keeps a single name. The
+    sizes are cut from their lineage first: names of containers hang on row ids.
     """
+    sizes = cut(sizes.select(key, "n_tokens"))
     full = F.expr(f"n_tokens div {capacity}").cast("int")
     whole = sizes.where(f"n_tokens >= {capacity}").select(F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
     whole = whole.select("k", "piece", (F.col("piece") * capacity).cast("bigint").alias("token_start"), ((F.col("piece") + 1) * capacity).cast("bigint").alias("token_end"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import cut, table
+from ..session import table
 from .oracles import ORACLE as ORACLE
 from . import canonical, leaks, neighbours, overlap, packing, scans, sentences, splits
 
@@ -132,7 +132,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents.text in containers of 2,048 tokens: which tokens of which document lie in which container."""
-    return packing.containers(cut(packing.measured(table(spark, sf_dir, "documents"), "doc_id", "text")), "doc_id")
+    return packing.containers(packing.measured(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p3_context, p8_found, p8_clean, p9_found, p9_canonical, p4_found, p4_repaired, p4_context, p4_mentions, p5_found, p5_splits, p6_found, p6_report, p2_found, p7_containers)}

@@ -166,6 +166,11 @@ def line_features(lines: list[str], found: dict[int, tuple[float, str]]) -> dict
     return out
 
 
+def furniture_kind(features: list[str]) -> str:
+    """What a suspect line is if it is furniture: what has the form of a number can't be a title."""
+    return PAGE if any(f.startswith("N") for f in features) else HEADER
+
+
 def line_label(line: str, likeness: float, form: str) -> str | None:
     """What wording alone makes certain; None for the rest."""
     if form:
@@ -288,7 +293,7 @@ class Editor:
                 self.whole[lang][word] = df - apart
         self.furniture, self.joining, self.editing = Ranker(), Ranker(), Ranker()
         self.name_joining, self.name_editing = Ranker(), Ranker()
-        self.furniture.fit([(labelled((HEADER, PAGE), f), ("", HEADER, PAGE).index(label)) for f, label in lines], rounds)
+        self.furniture.fit([(labelled((furniture_kind(f),), f), int(label != RUNNING)) for f, label in lines], rounds)
         self._train_editing(self._mine(sample), sample, rounds)
         self._train_joining(ends, rounds)
         self._train_names(lists, rounds)
@@ -404,7 +409,8 @@ class Editor:
         out = [RUNNING if line.strip() else BLANK for line in lines]
         if found := suspects(lines, title):
             for i, f in line_features(lines, found).items():
-                out[i] = (RUNNING, HEADER, PAGE)[self.furniture.best(labelled((HEADER, PAGE), f))]
+                kind = furniture_kind(f)
+                out[i] = kind if self.furniture.best(labelled((kind,), f)) else RUNNING
         return out
 
     def joins(self, lang: str, a: str, mark: str, b: str) -> bool:
@@ -473,7 +479,7 @@ class Editor:
         if len(held) > 1 or any(any(map(str.isdigit, w)) for w in held):
             change = {}
             for w in held:
-                if len(w) > 2:
+                if len(w) > 2 and (any(map(str.isdigit, w)) or any(reachable(w, v) for v in held)):
                     options, results = self._name_options(w, held)
                     if len(options) > 1 and (k := self.name_editing.best(options)):
                         change[w] = results[k]
@@ -484,6 +490,11 @@ class Editor:
         return sorted(set(out)), fixed
 
 
+def reachable(word: str, other: str) -> bool:
+    """Whether two edits of at most two letters may turn one word into the other: a bound by length and letters."""
+    return word != other and abs(len(word) - len(other)) <= 2 and len(set(word) & set(other)) >= len(set(word)) - 4
+
+
 def inner_marks(name: str) -> list[tuple[re.Match, str, str]]:
     """(match, word before, word after) of every mark within a mention that may divide a word."""
     out = []
@@ -513,10 +524,11 @@ def statistics(df: DataFrame, text: str, lang: str, title: str, mentions: str) -
     """``mentions`` is a column of lists of mentions, one list per person or place. One pass over the corpus: word forms (kind w), divided words (d) and numbers of documents (s), counted in part per task and then whole."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, named, apart, ends, size = Counter(), Counter(), Counter(), Counter(), Counter()
+        count, named, apart = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+        ends, size = Counter(), Counter()
 
         def rows() -> pd.DataFrame:
-            out = [("w", *k, n, named[k], apart[k], "", "", "") for k, n in count.items()]
+            out = [("w", lang, w, n, named[lang][w], apart[lang][w], "", "", "") for lang, words in count.items() for w, n in words.items()]
             out += [("d", lang, "", n, 0, 0, a, mark, b) for (lang, a, mark, b), n in ends.items()]
             out += [("s", lang, "", n, 0, 0, "", "", "") for lang, n in size.items()]
             for c in (count, named, apart, ends, size):
@@ -539,10 +551,10 @@ def statistics(df: DataFrame, text: str, lang: str, title: str, mentions: str) -
                 if "-" in joined:
                     words.update(INNER_WORD.findall(joined))
                 own = set(words_of("\n".join(n for names in lists if names is not None for n in names if n))) if lists is not None and len(lists) else set()
-                count.update((language, w) for w in words)
-                named.update((language, w) for w in words & own)
-                apart.update((language, w) for w, n in divided.items() if forms.count(w) <= n)
-            if len(count) > 500_000:
+                count[language].update(words)
+                named[language].update(words & own)
+                apart[language].update(w for w, n in divided.items() if forms.count(w) <= n)
+            if sum(map(len, count.values())) > 500_000:
                 yield rows()
         yield rows()
 
@@ -639,8 +651,9 @@ def look(text: str, lang: str, title: str | None, editor: Editor, common: frozen
         starts[j], ends[i] = STARTS.match(lines[j]).end(), len(lines[i].rstrip()) - len(a) - 1
         if (w := a + b) not in common:
             odd.append((i, w, len(a), j))
-    for i, kind in enumerate(kinds):
-        if kind == RUNNING:
+    rare = {w for w in words_of(text) if w not in common}
+    for i, kind in enumerate(kinds) if rare else ():
+        if kind == RUNNING and any(w in lines[i] for w in rare):
             line = lines[i][starts.get(i, 0) : max(ends.get(i, len(lines[i])), starts.get(i, 0))]
             odd += [(i, w, len(w), i) for w in words_of(line) if w not in common]
     return lines, kinds, parts, odd
