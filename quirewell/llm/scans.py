@@ -536,7 +536,7 @@ def statistics(df: DataFrame, text: str, lang: str, title: str, mentions: str) -
             return pd.DataFrame(out, columns=[x.split()[0] for x in STAT_DDL.split(", ")])
 
         for batch in batches:
-            for x, language, heading, lists in zip(batch["x"], batch["l"], batch["h"], batch["m"]):
+            for x, language, names in zip(batch["x"], batch["l"], batch["m"]):
                 size[language] += 1
                 lines = x.split("\n")
                 divided: Counter = Counter()
@@ -550,7 +550,7 @@ def statistics(df: DataFrame, text: str, lang: str, title: str, mentions: str) -
                 words = set(forms)
                 if "-" in joined:
                     words.update(INNER_WORD.findall(joined))
-                own = set(words_of("\n".join(n for names in lists if names is not None for n in names if n))) if lists is not None and len(lists) else set()
+                own = set(words_of(names)) if names else set()
                 count[language].update(words)
                 named[language].update(words & own)
                 apart[language].update(w for w, n in divided.items() if forms.count(w) <= n)
@@ -559,7 +559,9 @@ def statistics(df: DataFrame, text: str, lang: str, title: str, mentions: str) -
         yield rows()
 
     keys = ["kind", "lang", "word", "a", "mark", "b"]
-    return _picked(df, text, lang, title, m=mentions).where(F.length("x") > 0).mapInPandas(work, STAT_DDL).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("df", "named", "apart")])
+    named_here = F.concat_ws("\n", F.flatten(F.filter(mentions, lambda names: names.isNotNull())))  # as one text: lists of lists are slow to pass
+    rows = _picked(df.withColumn("_names", named_here), text, lang, title, m="_names").drop("h")
+    return rows.where(F.length("x") > 0).mapInPandas(work, STAT_DDL).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("df", "named", "apart")])
 
 
 class Corpus:
