@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import ml, predictors, sampling as S
 from ..operators.labels import KEY, null_to_false
 from ..session import table
-from .common import PRED, predictions, wide
+from .common import PRED, WIDE, predictions, wide
 from .ensembles import UNIQ, uniq
 from .scoring import SPLIT_SQL, document_split
 
@@ -33,7 +33,22 @@ def m12_spectral(spark: SparkSession, d: str) -> DataFrame:
     return ml.SpectralMap(components=4, near=15, most=1000).fit(e, "embedding", "vec_id").transform(e, "vec_id", "embedding")
 
 
-@query()
+def _greedy_sql() -> str:
+    """All seven subsets of the three models scored, then the greedy path through them."""
+    subsets = [[i for i in range(3) if n >> i & 1] for n in range(1, 8)]
+    name = lambda c: "+".join(f"at_{i}" for i in c)
+    long = " UNION ALL ".join(f"SELECT '{name(c)}' AS s, concat_ws('|', {', '.join(f'at_{i}' for i in c)}) AS v, g, fold FROM t" for c in subsets)
+    two = " UNION ALL ".join(f"SELECT 'at_{i}' AS a, 'at_{j}' AS b, '{name(sorted((i, j)))}' AS s" for i in range(3) for j in range(3) if i != j)
+    return f"""WITH {WIDE}, t AS (SELECT at_0, at_1, at_2, at_gold AS g, (row_number() OVER (PARTITION BY at_gold ORDER BY md5(k), k) - 1) % 5 AS fold FROM (SELECT *, concat_ws('|', document_id, pers_entity_id, loc_entity_id) AS k FROM wide WHERE at_gold IS NOT NULL)),
+long AS ({long}), f AS (SELECT unnest([0, 1, 2, 3, 4]) AS f), cnt AS (SELECT s, f, v, g, count(*) AS n FROM long, f WHERE fold <> f GROUP BY ALL), tab AS (SELECT s, f, v, g AS label FROM (SELECT *, row_number() OVER (PARTITION BY s, f, v ORDER BY n DESC, g) AS rn FROM cnt) WHERE rn = 1),
+held AS (SELECT s, fold AS f, v, g, count(*) AS n FROM long GROUP BY ALL), rec AS (SELECT s, f, g, sum(CASE WHEN coalesce(label, 'FALSE') = g THEN n ELSE 0 END) / sum(n) AS r FROM held LEFT JOIN tab USING (s, f, v) GROUP BY ALL),
+score AS (SELECT s, avg(r) AS m FROM (SELECT s, f, avg(r) AS r FROM rec GROUP BY ALL) GROUP BY s), one AS (SELECT s AS a, m FROM score WHERE length(s) = 4 ORDER BY m DESC, s LIMIT 1),
+two AS (SELECT a, b, score.m FROM ({two}) p JOIN one USING (a) JOIN score USING (s) WHERE score.m > one.m + 1e-6 ORDER BY score.m DESC, b LIMIT 1),
+three AS (SELECT a, b, replace(replace('at_0at_1at_2', a, ''), b, '') AS c, score.m FROM two, score WHERE s = 'at_0+at_1+at_2' AND score.m > two.m + 1e-6)
+SELECT 1 AS step, a AS chosen, round(m, 6) AS macro_recall FROM one UNION ALL SELECT 2, a || '+' || b, round(m, 6) FROM two UNION ALL SELECT 3, a || '+' || b || '+' || c, round(m, 6) FROM three"""
+
+
+@query(_greedy_sql())
 def e21_greedy_selection(spark: SparkSession, d: str) -> DataFrame:
     w = wide(spark, d).withColumn("key", F.concat_ws("|", *KEY))
     trace = ml.greedy_selection(w, ["at_0", "at_1", "at_2"], "at_gold", "key", most=3)
