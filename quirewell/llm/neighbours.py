@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.skew import split_join
 from ..session import cut, kept
 
 
@@ -79,19 +80,19 @@ def beam(x: np.ndarray, edges: np.ndarray, q: np.ndarray, starts: np.ndarray, wi
         better = s > sims[active].min(axis=1)[crow]  # others can't enter their row's list
         crow, cand, s = crow[better], cand[better], s[better]
         count = np.bincount(crow, minlength=len(active))
-        wide = int(count.max(initial=0))
-        if wide:
+        if len(crow):  # only the lists that change are sorted anew
+            change = np.flatnonzero(count)
+            count, mine = count[change], active[change]
             place = np.arange(len(crow)) - np.repeat(np.cumsum(count) - count, count)
-            new_ids = np.full((len(active), wide), -1, np.int32)
-            new_sims = np.full((len(active), wide), -9.0, np.float32)
-            new_ids[crow, place], new_sims[crow, place] = cand, s
-            all_ids = np.concatenate([ids[active], new_ids], axis=1)
-            all_sims = np.concatenate([sims[active], new_sims], axis=1)
-            all_fresh = np.concatenate([fresh[active], new_ids >= 0], axis=1)
-            top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-            ids[active] = np.take_along_axis(all_ids, top, 1)
-            sims[active] = np.take_along_axis(all_sims, top, 1)
-            fresh[active] = np.take_along_axis(all_fresh, top, 1)
+            row = np.repeat(np.arange(len(change)), count)
+            new_ids = np.full((len(change), width + int(count.max())), -1, np.int32)
+            new_sims = np.full(new_ids.shape, -9.0, np.float32)
+            new_fresh = np.zeros(new_ids.shape, dtype=bool)
+            new_ids[:, :width], new_sims[:, :width], new_fresh[:, :width] = ids[mine], sims[mine], fresh[mine]
+            new_ids[row, width + place], new_sims[row, width + place], new_fresh[row, width + place] = cand, s, True
+            top = np.argpartition(-new_sims, width - 1, axis=1)[:, :width]
+            flat = np.arange(len(change))[:, None] * new_ids.shape[1] + top
+            ids[mine], sims[mine], fresh[mine] = new_ids.ravel()[flat], new_sims.ravel()[flat], new_fresh.ravel()[flat]
         open_ = np.where(fresh[active], sims[active], -99.0)
         alive = open_.max(axis=1) > -90
         active, open_ = active[alive], open_[alive]
@@ -223,13 +224,14 @@ def _exact(raw_q: np.ndarray, raw_y: np.ndarray) -> np.ndarray:
 
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """id, v (packed 32-bit floats): the vectors that can be compared."""
-    v = F.col(vector)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.col(key).alias("id"), v.cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & ~bad & F.exists("v", lambda x: x != 0))
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "v": [x.astype(np.float32).tobytes() for x in b["v"]]})
+            if len(b):
+                x = np.stack(b["v"]).astype(np.float32)  # null components are NaN here
+                ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[ok], "v": [r.tobytes() for r in x[ok]]})
 
     return rows.mapInPandas(pack, "id bigint, v binary")
 
@@ -238,7 +240,7 @@ def unpacked(v: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(v), np.float32).reshape(-1, dim)
 
 
-def copies(vectors: DataFrame) -> DataFrame:
+def copies(vectors: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
     """id, rep of every vector that stands more than once: its own and its first copy's id.
 
     Copies are told by two hashes of the values, so only ids and hashes are
@@ -246,7 +248,9 @@ def copies(vectors: DataFrame) -> DataFrame:
     """
     slim = vectors.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     several = slim.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1").drop("n")
-    return slim.join(several, ["h1", "h2"]).select("id", "rep")
+    several = kept(several)
+    few = several.count() <= most_broadcast
+    return (slim.join(F.broadcast(several), ["h1", "h2"]) if few else split_join(slim, several, ["h1", "h2"], right_hot={})).select("id", "rep")
 
 
 def _sample(vectors: DataFrame, n: int, most: int, dim: int) -> np.ndarray:
@@ -353,7 +357,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least
     n = vectors.count()
     if n == 0:
         return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"))
-    again = cut(copies(vectors))
+    again = kept(copies(vectors, most_broadcast))
     later = again.where("id <> rep").select("id")
     later = F.broadcast(later) if later.count() <= most_broadcast else later.hint("merge")
     cells = Cells(vectors.join(later, "id", "left_anti"), n, dim, most_fit, shard, most_shard)
@@ -407,7 +411,8 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least
     some = again.withColumn("rank", place).where(F.col("rank") <= k + 1).select(F.col("rep").alias("other"), F.col("id").alias("other_row"))
     wide = met.unionByName(itself).join(some, "other", "left").withColumn("other_row", F.coalesce("other_row", "other"))
     rows = again.select(F.col("rep").alias("id"), F.col("id").alias("row"))
-    out = wide.join(rows, "id", "left").withColumn("row", F.coalesce("row", "id")).where("row <> other_row")
+    alone = wide.join(rows.select("id").distinct().hint("merge"), "id", "left_anti").withColumn("row", F.col("id"))
+    out = split_join(rows, wide, ["id"], right_hot={}).select(alone.columns).unionByName(alone).where("row <> other_row")
     last = Window.partitionBy("row").orderBy(F.desc("cosine"), "other_row")
     out = out.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return out.select(F.col("row").alias("id"), F.col("other_row").alias("other"), F.least(F.col("cosine"), F.lit(1.0)).alias("cosine"))
