@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..operators.skew import split_join
+from ..session import kept, table
 from .oracles import ORACLE as ORACLE
 from . import canonical, leaks, neighbours, overlap, packing, scans, sentences, splits
 
@@ -91,9 +92,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = [(source, False), (F.col("correspondent"), False), (F.col("sampled_pairs.pers_entity_id"), True), (F.col("sampled_pairs.pers_wikidata_QID"), True)]
     groups = splits.group_records(df, "document_id", shared)
     sources = df.groupBy("document_id").agg(F.min(source).alias("source"))
-    joined = groups.join(sources, "document_id")
+    joined = kept(groups.join(sources, "document_id"))
     least = joined.groupBy("group").agg(F.min("source").alias("group_source"))
-    return joined.join(least, "group").select("document_id", "group_source")
+    return split_join(joined, least, ["group"], right_hot={}).select("document_id", "group_source")  # one group may hold most articles
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut, kept
+from ..operators.skew import split_join
+from ..session import kept
 
 #: The marks that divide a word at the end of a line.
 MARKS = "-=¬­‐"
@@ -715,7 +716,7 @@ def defects(df: DataFrame, key: str, text: str, lang: str, title: str, corpus: C
 
     picked = _picked(df, text, lang, title, k=key).where(F.length("x") > 0)
     rows = kept(picked.mapInPandas(work, "record_key string, pos bigint, defect string, lang string, word string, own int, next bigint"))
-    misread = rows.where("word is not null").join(corpus.fixes.hint("merge"), ["lang", "word"])
+    misread = split_join(rows.where("word is not null"), corpus.fixes, ["lang", "word"], right_hot={})
     misread = misread.select("record_key", F.when(F.col("at") < F.col("own"), F.col("pos")).otherwise(F.col("next")).alias("pos"), "defect")
     return rows.where("word is null").select("record_key", "pos", "defect").unionByName(misread)
 
@@ -739,7 +740,7 @@ def repaired(df: DataFrame, key: str, text: str, lang: str, title: str, corpus:
             yield pd.DataFrame({"k": batch["k"], "clean_text": texts})
 
     picked = _picked(df, text, lang, title, k=key).withColumn("r", F.xxhash64("k", "x", "l", "h"))
-    found = picked.where(F.length("x") > 0).mapInPandas(odd, "r bigint, lang string, word string").distinct().join(corpus.fixes.hint("merge"), ["lang", "word"])
+    found = split_join(kept(picked.where(F.length("x") > 0).mapInPandas(odd, "r bigint, lang string, word string").distinct()), corpus.fixes, ["lang", "word"], right_hot={})
     maps = found.groupBy("r").agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("fixes"))
     return picked.join(maps.hint("merge"), "r", "left").mapInPandas(work, "k string, clean_text string").withColumnRenamed("k", key)
 

@@ -86,18 +86,18 @@ def components(links: DataFrame, hops: int = 2, most_local: int = 1_000_000, per
         a = split_join(edges.where("u < v"), labels, ["u"], per_task=per_task, right_hot={}).select(F.col("label").alias("a"), F.col("v").alias("u"))
         small = split_join(a, labels, ["u"], per_task=per_task, right_hot={}).select(F.col("a").alias("u"), F.col("label").alias("v")).where("u <> v")
         small = cut(small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        total = labels if total is None else _follow(total, labels)
+        total = labels if total is None else _follow(total, labels, per_task)
         n = small.count()
         if n == 0:
             return total
         if n <= most_local:
-            return _follow(total, _merge(small))
+            return _follow(total, _merge(small), per_task)
         edges, total = small, cut(total)
 
 
-def _follow(labels: DataFrame, further: DataFrame) -> DataFrame:
+def _follow(labels: DataFrame, further: DataFrame, per_task: int) -> DataFrame:
     step = further.select(F.col("u").alias("label"), F.col("label").alias("_next"))
-    return labels.join(step, "label", "left").select("u", F.coalesce("_next", "label").alias("label"))
+    return split_join(labels, step, ["label"], "left", per_task=per_task).select("u", F.coalesce("_next", "label").alias("label"))
 
 
 def group_records(records: DataFrame, key: str, shared: list, hops: int = 2, most_local: int = 1_000_000, per_task: int = 2_000_000) -> DataFrame:
@@ -143,4 +143,4 @@ def assign_splits(groups: DataFrame, key: str, shares: dict[str, float], seed: s
         split = F.when(F.col("middle") < edge, F.lit(name)) if split is None else split.when(F.col("middle") < edge, F.lit(name))
     last = list(shares)[-1]
     placed = sized.join(F.broadcast(starts), "bucket").withColumn("middle", middle).select("name", (split.otherwise(F.lit(last)) if split is not None else F.lit(last)).alias("split"))
-    return groups.join(placed, "name").select(key, "split")
+    return split_join(groups, placed, ["name"], right_hot={}).select(key, "split")
