@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import split_join
-from ..session import cut
+from ..session import cut, kept
 from . import fold
 
 LATIN, GREEK_ALIKE, CYRILLIC_ALIKE, GREEK_OWN, CYRILLIC_OWN, FOREIGN = 1, 2, 4, 8, 16, 32
@@ -218,8 +218,8 @@ def canonical(df: DataFrame, key: str, text: str, out: str = "canonical_text") -
             if rows:
                 yield pd.DataFrame({"_row": np.array(rows, np.int64), "token": found})
 
-    needed = slim.where(F.length("t") > 0).mapInPandas(odd, "_row bigint, token string").distinct()
-    maps = needed.join(spellings(df, text), "token").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "canonical"))).alias("_spelled"))
+    needed = kept(slim.where(F.length("t") > 0).mapInPandas(odd, "_row bigint, token string").distinct())
+    maps = split_join(needed, spellings(df, text), ["token"], right_hot={}).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "canonical"))).alias("_spelled"))
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -245,6 +245,11 @@ def fold_spaces() -> str:
     return "".join(chr(o) for o in np.flatnonzero(table == 0x20) if o != 0x20)
 
 
+def digest(c: str) -> Column:
+    """128 bits of a text's SHA-256, packed."""
+    return F.unhex(F.substring(F.sha2(F.col(c), 256), 1, 32))
+
+
 def alike_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Members (key, look, raw, n_alike) and links (look, raw_a, raw_b) of the texts that look like others.
 
@@ -254,7 +259,7 @@ def alike_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     them: copies are counted, never paired.
     """
     slim = canonical(df.select(key, text).where(F.length(text) > 0), key, text, "_canonical")
-    rows = cut(slim.select(F.col(key), F.sha2("_canonical", 256).alias("look"), F.sha2(F.col(text), 256).alias("raw")))
+    rows = cut(slim.select(F.col(key), digest("_canonical").alias("look"), digest(text).alias("raw")))
     spelt = rows.groupBy("look", "raw").agg(F.count("*").alias("n"))
     looks = spelt.groupBy("look").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("kinds > 1").drop("kinds")
     some = cut(spelt.join(looks.hint("merge"), "look"))  # spellings of looks that have several
