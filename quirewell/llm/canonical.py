@@ -250,7 +250,7 @@ def digest(c: str) -> Column:
     return F.unhex(F.substring(F.sha2(F.col(c), 256), 1, 32))
 
 
-def alike_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def alike_classes(df: DataFrame, key: str, text: str, per_task: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """Members (key, look, raw, n_alike) and links (look, raw_a, raw_b) of the texts that look like others.
 
     ``look`` names what a text looks like and ``raw`` its spelling; the rows
@@ -263,15 +263,19 @@ def alike_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     spelt = rows.groupBy("look", "raw").agg(F.count("*").alias("n"))
     looks = spelt.groupBy("look").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("kinds > 1").drop("kinds")
     some = cut(spelt.join(looks.hint("merge"), "look"))  # spellings of looks that have several
-    members = split_join(rows, some, ["look", "raw"], right_hot={}).select(key, "look", "raw", (F.col("all") - F.col("n")).alias("n_alike"))
+    largest = some.agg(F.max("all")).first()[0] or 0
+    hot = {} if largest <= per_task else None  # where no look has many rows, no key needs counting
+    members = split_join(rows, some, ["look", "raw"], per_task=per_task, left_hot=hot, right_hot={}).select(key, "look", "raw", (F.col("all") - F.col("n")).alias("n_alike"))
     a, b = some.select("look", F.col("raw").alias("raw_a")), some.select("look", F.col("raw").alias("raw_b"))
-    return members, split_join(a, b, ["look"]).where("raw_a < raw_b")
+    return members, split_join(a, b, ["look"], per_task=per_task, left_hot=hot, right_hot=hot).where("raw_a < raw_b")
 
 
-def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+def alike_pairs(df: DataFrame, key: str, text: str, per_task: int = 2_000_000) -> DataFrame:
     """Pairs (key_a < key_b) of rows whose non-empty texts look the same and whose characters differ: the links, expanded by their members."""
-    members, found = alike_classes(df, key, text)
+    members, found = alike_classes(df, key, text, per_task)
+    members = kept(members)
+    hot = {} if (members.agg(F.max("n_alike")).first()[0] or 0) <= per_task else None
     a = members.select("look", F.col("raw").alias("raw_a"), F.col(key).alias("a"))
     b = members.select("look", F.col("raw").alias("raw_b"), F.col(key).alias("b"))
-    wide = split_join(split_join(a, found, ["look", "raw_a"]), b, ["look", "raw_b"])
+    wide = split_join(split_join(a, found, ["look", "raw_a"], per_task=per_task, left_hot=hot, right_hot=hot), b, ["look", "raw_b"], per_task=per_task, left_hot=hot, right_hot=hot)
     return wide.where("a <> b").select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()

@@ -61,13 +61,12 @@ def _merge(edges: DataFrame) -> DataFrame:
     return edges.where("u < v").coalesce(1).mapInPandas(work, "u bigint, label bigint")
 
 
-def _level(edges: DataFrame, hops: int, per_task: int) -> DataFrame:
+def _level(edges: DataFrame, hops: int, per_task: int, hot: dict[int, int]) -> DataFrame:
     """u, label: one level of the search; ``edges`` holds both directions."""
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
     smallest = edges.groupBy("u").agg(F.min(order("v")).alias("least"))
     labels = smallest.where(order("u") < F.col("least")).select("u", F.col("u").alias("label"))
     frontier = labels
-    hot = hot_buckets(edges, ["u"], per_task)  # a key's centre is next to all its records
     for _ in range(hops):
         reached = split_join(edges, frontier, ["u"], per_task=per_task, left_hot=hot, right_hot={}).groupBy("v").agg(F.min("label").alias("label")).withColumnRenamed("v", "u")
         frontier = reached.join(labels, "u", "left_anti")
@@ -82,9 +81,10 @@ def components(links: DataFrame, hops: int = 2, most_local: int = 1_000_000, per
     edges = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     total = None
     while True:
-        labels = cut(_level(edges, hops, per_task))
-        a = split_join(edges.where("u < v"), labels, ["u"], per_task=per_task, right_hot={}).select(F.col("label").alias("a"), F.col("v").alias("u"))
-        small = split_join(a, labels, ["u"], per_task=per_task, right_hot={}).select(F.col("a").alias("u"), F.col("label").alias("v")).where("u <> v")
+        hot = hot_buckets(edges, ["u"], per_task)  # a key's centre is next to all its records; edges lie in both directions
+        labels = cut(_level(edges, hops, per_task, hot))
+        a = split_join(edges.where("u < v"), labels, ["u"], per_task=per_task, left_hot=hot, right_hot={}).select(F.col("label").alias("a"), F.col("v").alias("u"))
+        small = split_join(a, labels, ["u"], per_task=per_task, left_hot=hot, right_hot={}).select(F.col("a").alias("u"), F.col("label").alias("v")).where("u <> v")
         small = cut(small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
         total = labels if total is None else _follow(total, labels, per_task)
         n = small.count()
