@@ -8,16 +8,17 @@
    six places (the fourth is left open, so that a wrong word at every fourth
    place or rarer leaves shingles whole), together with two minima of hashes
    over the record's distinct words (of ``MINIMA`` hash functions, chosen by
-   the shingle). Records that agree in three quarters of their words share at
-   least 0.6 of their distinct words, so a shared shingle becomes a shared key
-   with a chance of 0.36 or more, while records that share no more than a
+   the shingle). Records that agree in three quarters of their words share some
+   0.6 of their distinct words, so a shared shingle becomes a shared key
+   with a chance of some 0.36 or more, while records that share no more than a
    stock phrase mostly have other minima: a phrase that a third of all
    records hold is spread over many keys. Of all (shingle, function) keys each
    record keeps about ``keys`` by hash, at every size of text and corpus.
 3. Two records are candidates if they share two keys (one where a text is
    short) that may belong to one alignment: their lengths, and what stands
-   before and after the shingle, differ by no more than ``agree`` allows. These
-   tests lose nothing.
+   before and after the shingle, differ by no more than ``agree`` allows. No
+   aligned shingle is lost by that, but where a text repeats one only its
+   first place counts.
 4. Candidates are verified by a bound on the words they share in any order
    and then by the longest common subsequence of words (bit-parallel): a pair counts if it
    covers the share ``agree`` of the longer record.
