@@ -27,6 +27,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -85,6 +86,7 @@ class TablePlan:
     reasons: dict[str, str]
 
 
+@functools.lru_cache(1 << 16)
 def snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])([A-Z])", lambda m: "_" + m[1], name).lower()
 
@@ -128,7 +130,16 @@ def _edges(value, element: str, naming: Naming, out: dict) -> None:
         for x, kind in zip(items, kinds):
             if isinstance(x, dict):
                 out[(parent, kind)][0] += 1
-                stack.extend((y, naming.element(kind, k), kind) for k, y in x.items() if y is not None)
+                for k, y in x.items():
+                    if y is None:
+                        continue
+                    child = naming.element(kind, k)
+                    if isinstance(y, (dict, list)) or isinstance(y, str) and y[:1] in ("[", "{"):
+                        stack.append((y, child, kind))
+                    else:  # a plain value: counted where it stands
+                        counts = out.setdefault((kind, child), [0, 0, 0, 0, 0])
+                        counts[2] += 1
+                        counts[4] = max(counts[4], 1)
             elif isinstance(x, list):
                 stack.append((x, kind, parent))
             elif x is not None:

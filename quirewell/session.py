@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -41,13 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to a Parquet table in the shared folder and read back.
 
     Cuts the lineage as ``cut`` does; the columnar file is several times
-    smaller than a checkpoint of the same narrow rows.
+    smaller than a checkpoint of the same narrow rows. The table goes when the
+    program ends.
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
