@@ -14,7 +14,7 @@ from hashlib import blake2b
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse as P, prompts as M
 from ..session import kept
@@ -124,13 +124,27 @@ def experiment(df: DataFrame, name: str, predict: Callable[[DataFrame], DataFram
     return done, rows.join(cost, "experiment")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once a row: what a lambda names otherwise is computed again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def hashed_embedding(df: DataFrame, text: str, dim: int = 64, out: str = "embedding") -> DataFrame:
-    """A stand-in encoder: normalised hashed word counts, all in the JVM."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: w != "")
+    """A stand-in encoder: normalised hashed word counts, all in the JVM.
+
+    Each text is split and hashed once. Nulls and texts without a word give zeros.
+    """
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), "")
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return df.withColumn(out, F.transform(counts, lambda x: (x / F.greatest(norm, F.lit(1e-12))).cast("float")))
+
+    def counts(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(s) - F.size(F.array_remove(s, i))).cast("double"))
+
+    def unit(c: Column) -> Column:
+        norm = F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
+        return _once(norm, lambda n: F.transform(c, lambda x: (x / n).cast("float")))
+
+    return df.withColumn(out, _once(slots, lambda s: _once(counts(s), unit)))
 
 
 def no_tags(df: DataFrame) -> DataFrame:

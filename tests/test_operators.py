@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -252,6 +254,27 @@ def test_retrieval_equals_brute_force(spark):
         assert all([got[i][k + 1] for k in range(5)] == np.argsort(-s[i])[:5].tolist() for i in range(10))
 
 
+def test_hashed_embedding_equals_brute_force(spark):
+    texts = [None, "", " .-! ", "one", "One one, ONE two", "à peine l'été 1872 à_b", " ".join(f"w{i % 700}" for i in range(20_000))]
+    df = frame(spark, list(enumerate(texts)), "id int, t string")
+    words = [[w for w in re.split(r"\W+", (t or "").lower(), flags=re.ASCII) if w] for t in texts]
+    each = frame(spark, [(w,) for w in sorted({w for x in words for w in x})], "w string")
+    slot = {r.w: r.s for r in each.select("w", F.expr("pmod(xxhash64(w), 16)").alias("s")).collect()}
+    got = {r.id: r.embedding for r in predictors.hashed_embedding(df, "t", 16).collect()}
+    for i, x in enumerate(words):
+        n = Counter(slot[w] for w in x)
+        norm = math.sqrt(sum(c * c for c in n.values())) or 1.0
+        assert got[i] == pytest.approx([n[k] / norm for k in range(16)], abs=1e-6)
+
+
+def test_hashed_embedding_reads_each_text_once(spark):
+    e = predictors.hashed_embedding(frame(spark, [("x " * 50_000,)], "t string"), "t").select("embedding")
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # it stood in the plan twice, within lambdas: 4,096 times a row
+    began = time.time()
+    assert sorted(value(e))[-2:] == [0.0, 1.0] and time.time() - began < 60
+
+
 def test_spectral_map_separates_blobs(spark):
     import numpy as np
 
